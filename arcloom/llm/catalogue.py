@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arcloom.llm import encoding, languages
+from arcloom.llm import encoding, languages, truncation
 
-MODULES = [encoding, languages]
+MODULES = [truncation, encoding, languages]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
