@@ -51,7 +51,7 @@ def han_in(text: str) -> int:
 def bare(sentence: str) -> str:
     """The sentence without names of code, digits and marks, in lower case."""
     x = _MIXED.sub(" ", _NAME.sub(" ", sentence))
-    x = re.sub(r"[\d_#*>`|﻿\"“”«»()\[\]]+", " ", x)
+    x = re.sub(r"[\d_#*>`|\ufeff\"“”«»()\[\]]+", " ", x)
     return re.sub(r"\s+", " ", x).strip(" -.,;:!?").lower()
 
 
