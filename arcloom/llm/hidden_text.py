@@ -40,6 +40,7 @@ CLASSES = (*LANGS, "code")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _QUERY = re.compile(r"^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|FROM|WHERE|AND|OR|ORDER BY|GROUP BY|LIMIT|JOIN|LEFT|SET|VALUES)\b")
 _MARKS = re.compile(r"[;={}()<>\[\]|/\\_+*$%]")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAGS = re.compile(r"(?m)^\s*[@:]\w+.*$|\{@\w+[^}]*\}|</?\w[^<>]*>")
 _LOADED: dict[str, object] = {}
@@ -58,19 +59,27 @@ def subwords(folder: str, name: str = "byte_bpe_multi_50k"):
 
 class Unigrams:
     """log P(subword | class), mixed with the pooled counts in a fixed share, so that a subword that
-    a class does not know says the same about every class. The prior of the code class is ``PLAIN``
+    a class does not know says the same about every class; the names in code are English words, so
+    English knows a tenth of them. The prior of the code class is ``PLAIN``
     (a log ratio) for sentences without any of the marks code is made of."""
 
     def __init__(self, counts: np.ndarray):
         pooled = counts.sum(axis=0) + 0.1
         pooled /= pooled.sum()
         total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        self.logp = np.log(0.85 * counts / total + 0.15 * pooled).astype(np.float32)
+        share = counts / total
+        share[0] = 0.9 * share[0] + 0.1 * share[-1]
+        self.logp = np.log(0.85 * share + 0.15 * pooled).astype(np.float32)
         self.absent = counts.sum(axis=1) == 0
 
-    def decide(self, ids: list[int], plain: bool = False) -> tuple[int, float]:
+    def decide(self, ids: list[int], plain: bool = False, han: bool = True, cyrillic: bool = True) -> tuple[int, float]:
+        """Class and posterior. A sentence without a script cannot be of the languages written in it."""
         s = self.logp[:, ids].sum(axis=1)
         s[self.absent] = -np.inf
+        if not han:
+            s[[CLASSES.index("zh"), CLASSES.index("ja")]] = -np.inf
+        if not cyrillic:
+            s[CLASSES.index("ru")] = -np.inf
         if plain:
             s[-1] += PLAIN
         best = int(s.argmax())
@@ -115,8 +124,8 @@ def languages_in(text: str, model: Unigrams, enc, known: dict) -> dict[str, int]
             if _QUERY.match(s):
                 cls = "code"
             else:
-                k, p = model.decide(enc.encode_ordinary(" " + b), plain)
-                cls = CLASSES[k] if p >= 0.7 else "code"
+                k, p = model.decide(enc.encode_ordinary(" " + b), plain, han_in(b) > 0, bool(_CYRILLIC.search(b)))
+                cls = CLASSES[k] if plain or p >= 0.7 else "code"
             if len(known) > 200_000:
                 known.clear()
             known[b, plain] = cls
