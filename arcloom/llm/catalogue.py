@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arcloom.llm import encoding, hidden_text, languages, syntax, truncation
+from arcloom.llm import encoding, functions, hidden_text, languages, syntax, truncation
 
-MODULES = [truncation, syntax, hidden_text, encoding, languages]
+MODULES = [truncation, syntax, hidden_text, functions, encoding, languages]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
