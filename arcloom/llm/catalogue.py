@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arcloom.llm import encoding, functions, hidden_text, languages, mixing, splitting, syntax, truncation
+from arcloom.llm import encoding, functions, hidden_text, languages, mixing, provenance, splitting, syntax, truncation
 
-MODULES = [truncation, syntax, hidden_text, functions, splitting, encoding, mixing, languages]
+MODULES = [truncation, syntax, hidden_text, functions, splitting, provenance, encoding, mixing, languages]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
