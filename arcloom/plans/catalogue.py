@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcloom.plans import reference_integrity
+from arcloom.plans import graph_queries, reference_integrity
 
-MODULES = [reference_integrity]
+MODULES = [reference_integrity, graph_queries]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = "p6_found"
+FLAGSHIP = "reachable_classes"
