@@ -43,7 +43,7 @@ def parameter_types(signature: Column) -> Column:
     inside = F.regexp_extract(erased(F.regexp_replace(signature, "<init>", "init")), r"\((.*)\)\s*$", 1)
     parts = F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
     typed = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:final\s+|@\w+\s+)+", ""), r"\s+\w+$", ""))
-    return F.transform(typed, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), r"^(?:\w+\.)+", ""))
+    return F.transform(typed, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), r"^(?:\w+\.)+(\w)", "$1"))
 
 
 def normalised(signature: Column) -> Column:

@@ -160,7 +160,7 @@ _MET = f"CASE WHEN {_SHORT} = '<init>' THEN regexp_extract({_CLS}, '([^.]*)$', 1
 _ERASED = "replace(method_name, '<init>', 'init')"
 for _ in range(6):
     _ERASED = f"regexp_replace({_ERASED}, '<[^<>]*>', '', 'g')"
-_TYPES = f"list_transform(list_filter(list_transform(string_split(regexp_extract({_ERASED}, '\\((.*)\\)\\s*$', 1), ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^(?:final\\s+|@\\w+\\s+)+', ''), '\\s+\\w+$', ''), '\\s+', '', 'g'), '^(?:\\w+\\.)+', ''))"
+_TYPES = f"list_transform(list_filter(list_transform(string_split(regexp_extract({_ERASED}, '\\((.*)\\)\\s*$', 1), ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^(?:final\\s+|@\\w+\\s+)+', ''), '\\s+\\w+$', ''), '\\s+', '', 'g'), '^(?:\\w+\\.)+(\\w)', '\\1'))"
 _KIND = "SELECT repo, count(DISTINCT id) FILTER (WHERE kind = 'Class') AS Class, count(DISTINCT id) FILTER (WHERE kind = 'Enum') AS Enum, count(DISTINCT id) FILTER (WHERE kind = 'Interface') AS Interface FROM vertices GROUP BY repo"
 
 ORACLE = {
