@@ -150,7 +150,7 @@ def documented(functions: DataFrame) -> DataFrame:
     useful = F.filter(texts, lambda x: says_something(x, F.col("name")))
     desc = F.when(says_something(F.col("func_desc"), F.col("name")), F.col("func_desc"))
     described = F.when(F.size(useful) > 0, F.array_join(useful, "\n")).otherwise(desc)
-    code = F.trim(F.regexp_replace("func_code", r"^(?:\s|/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+)+", ""))
+    code = F.trim(F.regexp_replace("func_code", r"^(?:\s++|/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+)++", ""))
     return both.select("func_id", code.alias("code"), described.alias("description"), F.when(F.size(useful) > 0, "comment").otherwise("func_desc").alias("place")).where(F.col("description").isNotNull())
 
 
