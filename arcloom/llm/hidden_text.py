@@ -111,7 +111,7 @@ def fit(docs: DataFrame, files: DataFrame, folder: str, sample: int = SAMPLE, co
 
 def languages_in(text: str, model: Unigrams, enc, known: dict) -> dict[str, int]:
     """Characters of each language in one comment or literal that holds enough of it."""
-    if len(text) < 8:
+    if len(text) < 8 or (len(text) < 400 and text.isascii() and len(_WORDS.findall(text)) < 4):
         return {}
     t = _TAGS.sub("\n", text)
     t = re.sub(r"(?<![.!?。！？:\n])[ \t]*\r?\n[ \t]*(?=\S)", " ", t)

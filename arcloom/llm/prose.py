@@ -25,7 +25,7 @@ _LINK = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|\w+\|>|\{@\w+|&\w+;|`")
 _SPLIT = re.compile(r"(?<=[。！？])|(?<=[.!?;:])\s+|\n+")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:[a-z0-9][A-Z]|_)[A-Za-z0-9_$]*(?:\(\))?|\w+(?:\.\w+)+(?:\(\w*\))?|\w+\(\)")
-_MIXED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]*[0-9][A-Za-z0-9]*")
+_NOISE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]*[0-9][A-Za-z0-9]*|[\d_#*>`|\ufeff\"“”«»()\[\]]+")
 _WORD = re.compile(r"[^\W\d_]{2,}|[àaeéoyuóàéè]\b", re.I)
 _HAN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:import|package|return|public|private|protected|const|let|var|def|class)\b.*[;:{(]|\w\(.*\)\s*[;{]|[=!<>]=|&&|\|\||->|=>|::")
@@ -50,14 +50,15 @@ def han_in(text: str) -> int:
 
 def bare(sentence: str) -> str:
     """The sentence without names of code, digits and marks, in lower case."""
-    x = _MIXED.sub(" ", _NAME.sub(" ", sentence))
-    x = re.sub(r"[\d_#*>`|\ufeff\"“”«»()\[\]]+", " ", x)
-    return re.sub(r"\s+", " ", x).strip(" -.,;:!?").lower()
+    x = _NOISE.sub(" ", _NAME.sub(" ", sentence))
+    return " ".join(x.split()).strip(" -.,;:!?").lower()
 
 
 def sentences(text: str, least_words: int = 3, least_han: int = 5) -> list[str]:
     """Full sentences of prose: code blocks, traces, links, headings of one name and code lines are left out."""
-    t = _TAG.sub(" ", _LINK.sub(" ", _TRACE.sub("\n", _FENCE.sub("\n", text))))
+    t = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
+    t = _TRACE.sub("\n", t) if "(" in t or "rror" in t or "xception" in t or "more" in t else t
+    t = _TAG.sub(" ", _LINK.sub(" ", t) if "@" in t or ":/" in t or "www." in t else t)
     out = []
     for s in _SPLIT.split(t):
         s = s.strip()
