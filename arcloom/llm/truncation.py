@@ -97,20 +97,13 @@ def _levels(keys: dict[int, list[Column]]) -> Column:
 
 
 def sentences_of(values: DataFrame) -> DataFrame:
-    """Adds the mark taken off, and the sentences as structs (toks, raw last word, last, open)."""
+    """Adds the mark taken off, and the sentences as structs (toks, raw last word, stopped)."""
     core = values.withColumn("mark", F.regexp_extract(F.rtrim("value"), _MARK, 0)).withColumn("core", F.rtrim(F.regexp_replace(F.rtrim("value"), _MARK, "")))
     cut = core.withColumn("parts", F.filter(F.split("core", _SPLIT), lambda s: F.trim(s) != ""))
 
-    def one(s: Column, i: Column) -> Column:
-        raw = F.regexp_extract_all(F.regexp_replace(s, _STOP, ""), F.lit(_TOKEN), F.lit(0))
-        return F.struct(
-            _masked(raw).alias("toks"),
-            F.try_element_at(raw, F.lit(-1)).alias("raw"),
-            (i == F.size("parts") - 1).alias("last"),
-            ((i == F.size("parts") - 1) & ~s.rlike(_STOP)).alias("open"),
-        )
-
-    return cut.withColumn("sents", F.transform("parts", one)).drop("core", "parts")
+    # two transforms, so that the tokens of a sentence are taken once; nothing in a lambda looks at the whole array
+    taken = F.transform("parts", lambda s: F.struct(F.regexp_extract_all(F.regexp_replace(s, _STOP, ""), F.lit(_TOKEN), F.lit(0)).alias("r"), s.rlike(_STOP).alias("stopped")))
+    return cut.withColumn("sents", F.transform(taken, lambda x: F.struct(_masked(x["r"]).alias("toks"), F.try_element_at(x["r"], F.lit(-1)).alias("raw"), x["stopped"].alias("stopped")))).drop("core", "parts")
 
 
 def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -123,8 +116,9 @@ def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
     # one row for each masked sentence, with the number of different values that have it
     distinct = rows.select(*field, "value", "mark", "sents").dropDuplicates([*field, "value"])
     said = (
-        distinct.select(*field, "mark", F.explode("sents").alias("s"))
-        .select(*field, "s.*", F.when(F.col("s.last"), F.col("mark")).otherwise(0).alias("mark"))
+        distinct.select(*field, "mark", F.size("sents").alias("ns"), F.posexplode("sents").alias("at", "s"))
+        .withColumn("last", F.col("at") == F.col("ns") - 1)
+        .select(*field, "s.toks", "s.raw", (F.col("last") & ~F.col("s.stopped")).alias("open"), F.when(F.col("last"), F.col("mark")).otherwise(0).alias("mark"))
         .where(F.size("toks") > 0)
         .groupBy(*field, "toks", "raw", "open", "mark")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -166,18 +160,18 @@ def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
         )
     )
     rows = _with_words(rows, distinct, judged, field)
-    stopped = ~F.col("end.open")
-    cut = (F.col("mark") == 2) | F.coalesce("odd_mark", F.lit(False)) & F.col("end.open") | (~stopped & (F.coalesce("inside", F.lit(False)) | F.coalesce("part", F.lit(False))))
+    stopped = F.col("end.stopped")
+    cut = (F.col("mark") == 2) | F.coalesce("odd_mark", F.lit(False)) & ~F.col("end.stopped") | (~stopped & (F.coalesce("inside", F.lit(False)) | F.coalesce("part", F.lit(False))))
     return rows.select("table_name", "row_id", "field_name", "loader", "value", F.coalesce(cut, F.lit(False)).alias("cut"))
 
 
 def _with_words(rows: DataFrame, distinct: DataFrame, judged: DataFrame, field: list[str]) -> DataFrame:
     """Joins the verdict of the prefixes and ``part``: the last word is only the beginning of one."""
     word = r"^[A-Za-z0-9_'’-]+$"
-    rows = rows.withColumn("last_word", F.when(F.col("end.open") & F.col("end.raw").rlike(word), F.col("end.raw")))
+    rows = rows.withColumn("last_word", F.when(~F.col("end.stopped") & F.col("end.raw").rlike(word), F.col("end.raw")))
     # every word that is not the last of an open end is whole
     tokens = F.regexp_extract_all(F.regexp_replace(F.rtrim("value"), _MARK, ""), F.lit(_TOKEN), F.lit(0))
-    closed = ~F.element_at("sents", -1)["open"] & (F.col("mark") == 0)
+    closed = F.element_at("sents", -1)["stopped"] & (F.col("mark") == 0)
     whole = (
         distinct.where(F.size("sents") > 0)
         .withColumn("w", tokens)
