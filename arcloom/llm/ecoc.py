@@ -64,7 +64,13 @@ class Ecoc:
             return np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
         ids, owner = grams(texts)
         n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        bits = np.stack([np.bincount(owner, weights=self.weights[ids, b], minlength=len(texts)) for b in range(BITS)], axis=1) / n[:, None] * self.sharp
+        order = np.argsort(owner, kind="stable")
+        sums = np.zeros((len(texts), BITS))
+        if len(ids):
+            sorted_owner = owner[order]
+            first = np.flatnonzero(np.r_[True, sorted_owner[1:] != sorted_owner[:-1]])
+            sums[sorted_owner[first]] = np.add.reduceat(self.weights[ids[order]], first, axis=0)
+        bits = sums / n[:, None] * self.sharp
         code = codebook(len(self.labels))
         loss = np.logaddexp(0, -bits[:, None, :] * code[None]).sum(axis=2)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
