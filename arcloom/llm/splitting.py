@@ -3,7 +3,7 @@
 Every file over its limit is reduced to its boundaries: places (code point offsets) where it may be
 cut, each with a rank (after a blank line or a closing brace in column 0, at a line, after a
 statement or a blank inside a line, anywhere). Where code has none for a long stretch, places are
-added every ``grid`` code points, so that there is always a legal cut.
+added every ``grid`` code points (a quarter of the overlap if that is less), so that there is always a legal cut.
 
 One sweep joins every boundary, taken as a piece's start, to the farthest boundary within the limit
 of each rank: starts moved by the limit are sorted among the boundaries, and ``last`` windows look
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from arcloom.llm.syntax import extension
 from arcloom.tables import cut, table
 
-_RUN = r"[^\r\n;,{}> \t]*+(?:(?:\r\n|\r|\n)(?:[ \t]*+(?:\r\n|\r|\n))*+|[;,{}> \t]|$)"
+_LINE = r"[^\r\n]*+(?:(?:\r\n|\r|\n)(?:[ \t]*+(?:\r\n|\r|\n))*+|$)"
+_INNER = r"[^;,{}> \t]*+(?:[;,{}> \t]|$)"
+#: Without an overlap, lines longer than this get boundaries inside; with one, those longer than a quarter of it.
+LONG = 160
 
 
 def oversized(files: DataFrame, spec: DataFrame) -> DataFrame:
@@ -42,20 +45,23 @@ def oversized(files: DataFrame, spec: DataFrame) -> DataFrame:
 def boundaries_of(big: DataFrame, grid: int = 64) -> DataFrame:
     """(file_id, n, max_chars, overlap_chars, pos, rank): the places where a file may be cut; rank 1 is best.
 
-    The text is taken apart by one pattern into runs that end in a boundary; running sums of the
-    runs' lengths are the offsets.
+    The text is taken apart into lines, long lines into runs that end after a statement or a blank;
+    running sums of the lengths are the offsets.
     """
-    marked = F.regexp_extract_all("file_code", F.lit(_RUN), F.lit(0))
+    long = F.when(F.col("overlap_chars") > 0, F.greatest(F.lit(8), F.floor(F.col("overlap_chars") / 4))).otherwise(LONG).cast("int")
+    lines = F.regexp_extract_all("file_code", F.lit(_LINE), F.lit(0))
+    marked = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > long, F.regexp_extract_all(x, F.lit(_INNER), F.lit(0))).otherwise(F.array(x))))
     rows = big.repartition("file_id").select("file_id", "n", "max_chars", "overlap_chars", F.posexplode(marked).alias("i", "run"))
     by = Window.partitionBy("file_id").orderBy("i")
     ends = F.sum(F.length("run")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     line = F.col("run").rlike(r"[\r\n]$")
     blank = F.col("run").rlike(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)$")
-    top = line & (F.lag("run").over(by) == "}") & F.coalesce(F.lag("run", 2).over(by).rlike(r"[\r\n]$"), F.lit(True))
+    top = F.col("run").rlike(r"^\}[;)]*[ \t]*(?:\r\n|\r|\n)")
     rank = F.when(blank | top, 1).when(line, 2).when(F.col("run").rlike(r"[;,{}>]$"), 3).otherwise(4)
     at = rows.select("*", ends.cast("int").alias("pos"), rank.alias("rank")).where(F.length("run") > 0)
     # a long run without a boundary gets one every grid code points
-    inner = F.when(F.length("run") > grid, F.transform(F.sequence(F.lit(1), F.floor((F.length("run") - 1) / grid).cast("int")), lambda k: F.struct((F.col("pos") - F.length("run") + k * grid).cast("int").alias("pos"), F.lit(5).alias("rank")))).otherwise(F.array())
+    step = F.least(F.lit(grid), F.when(F.col("overlap_chars") > 0, F.greatest(F.lit(8), F.floor(F.col("overlap_chars") / 4))).otherwise(grid)).cast("int")
+    inner = F.when(F.length("run") > step, F.transform(F.sequence(F.lit(1), F.floor((F.length("run") - 1) / step).cast("int")), lambda k: F.struct((F.col("pos") - F.length("run") + k * step).cast("int").alias("pos"), F.lit(5).alias("rank")))).otherwise(F.array())
     every = F.concat(inner, F.array(F.struct("pos", "rank")))
     first = big.select("file_id", "n", "max_chars", "overlap_chars", F.lit(0).alias("pos"), F.lit(1).alias("rank"))
     return at.select("file_id", "n", "max_chars", "overlap_chars", F.explode(every).alias("b")).select("file_id", "n", "max_chars", "overlap_chars", "b.*").unionByName(first)
