@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcloom.tables import table
+from arcloom.tables import cut, table
 
 #: Smoothed share of sentence ends below which a prefix counts as the middle of a sentence.
 RATIO = 0.15
@@ -43,6 +43,7 @@ _HAN = r"぀-ヿ㐀-鿿"
 _TOKEN = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*|[^\sA-Za-z0-9_]"
 _CAMEL = r"^[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*$"
 _MARK = r"(?:\s*[\[(]?(?:\.{3,}|…+)[\])]?|�+)\s*$"
+_WORD = r"^[A-Za-z0-9_'’-]+$"
 _STOP = r"[.!?。！？]+[\"”’」』)）]*$"
 _SPLIT = r"(?<=[.!?])\s+|(?<=[。！？])"
 
@@ -99,23 +100,29 @@ def _levels(keys: dict[int, list[Column]]) -> Column:
 def sentences_of(values: DataFrame) -> DataFrame:
     """Adds the mark taken off, and the sentences as structs (toks, raw last word, stopped)."""
     core = values.withColumn("mark", F.regexp_extract(F.rtrim("value"), _MARK, 0)).withColumn("core", F.rtrim(F.regexp_replace(F.rtrim("value"), _MARK, "")))
-    cut = core.withColumn("parts", F.filter(F.split("core", _SPLIT), lambda s: F.trim(s) != ""))
+    split = core.withColumn("parts", F.filter(F.split("core", _SPLIT), lambda s: F.trim(s) != ""))
 
     # two transforms, so that the tokens of a sentence are taken once; nothing in a lambda looks at the whole array
     taken = F.transform("parts", lambda s: F.struct(F.regexp_extract_all(F.regexp_replace(s, _STOP, ""), F.lit(_TOKEN), F.lit(0)).alias("r"), s.rlike(_STOP).alias("stopped")))
-    return cut.withColumn("sents", F.transform(taken, lambda x: F.struct(_masked(x["r"]).alias("toks"), F.try_element_at(x["r"], F.lit(-1)).alias("raw"), x["stopped"].alias("stopped")))).drop("core", "parts")
+    return split.withColumn("sents", F.transform(taken, lambda x: F.struct(_masked(x["r"]).alias("toks"), F.try_element_at(x["r"], F.lit(-1)).alias("raw"), x["stopped"].alias("stopped")))).drop("core", "parts")
 
 
 def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """``values`` (table_name, row_id, field_name, loader, value) with a boolean column ``cut``."""
-    rows = sentences_of(values.where(F.trim("value") != "")).withColumn("end", F.try_element_at("sents", F.lit(-1)))
+    """(table_name, row_id, field_name, loader, length, cut) of ``values`` (table_name, row_id, field_name, loader, value)."""
+    whole = sentences_of(values.where(F.trim("value") != "")).withColumn("end", F.try_element_at("sents", F.lit(-1)))
     field = ["table_name", "field_name"]
     mark = F.when(F.col("mark").contains("�"), 2).when(F.col("mark") != "", 1).otherwise(0)
-    rows = rows.withColumn("mark", mark).withColumn("end_key", F.xxhash64("end.toks", "end.raw"))
+    whole = whole.withColumn("mark", mark)
+    last_word = F.when(~F.col("end.stopped") & F.col("end.raw").rlike(_WORD), F.col("end.raw"))
+    rows = cut(
+        whole.select(
+            *field, "row_id", "loader", F.length("value").alias("length"), "mark", F.xxhash64("end.toks", "end.raw").alias("end_key"), last_word.alias("last_word"), F.coalesce("end.stopped", F.lit(True)).alias("stopped")
+        )
+    )
 
     # one row for each masked sentence, with the number of different values that have it
-    distinct = rows.select(*field, "value", "mark", "sents").dropDuplicates([*field, "value"])
-    said = (
+    distinct = whole.select(*field, "value", "mark", "sents").dropDuplicates([*field, "value"])
+    said = cut(
         distinct.select(*field, "mark", F.size("sents").alias("ns"), F.posexplode("sents").alias("at", "s"))
         .withColumn("last", F.col("at") == F.col("ns") - 1)
         .select(*field, "s.toks", "s.raw", (F.col("last") & ~F.col("s.stopped")).alias("open"), F.when(F.col("last"), F.col("mark")).otherwise(0).alias("mark"))
@@ -160,15 +167,13 @@ def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
         )
     )
     rows = _with_words(rows, distinct, judged, field)
-    stopped = F.col("end.stopped")
-    cut = (F.col("mark") == 2) | F.coalesce("odd_mark", F.lit(False)) & ~F.col("end.stopped") | (~stopped & (F.coalesce("inside", F.lit(False)) | F.coalesce("part", F.lit(False))))
-    return rows.select("table_name", "row_id", "field_name", "loader", "value", F.coalesce(cut, F.lit(False)).alias("cut"))
+    stopped = F.col("stopped")
+    lost = (F.col("mark") == 2) | F.coalesce("odd_mark", F.lit(False)) & ~stopped | (~stopped & (F.coalesce("inside", F.lit(False)) | F.coalesce("part", F.lit(False))))
+    return rows.select("table_name", "row_id", "field_name", "loader", "length", F.coalesce(lost, F.lit(False)).alias("cut"))
 
 
 def _with_words(rows: DataFrame, distinct: DataFrame, judged: DataFrame, field: list[str]) -> DataFrame:
     """Joins the verdict of the prefixes and ``part``: the last word is only the beginning of one."""
-    word = r"^[A-Za-z0-9_'’-]+$"
-    rows = rows.withColumn("last_word", F.when(~F.col("end.stopped") & F.col("end.raw").rlike(word), F.col("end.raw")))
     # every word that is not the last of an open end is whole
     tokens = F.regexp_extract_all(F.regexp_replace(F.rtrim("value"), _MARK, ""), F.lit(_TOKEN), F.lit(0))
     closed = F.element_at("sents", -1)["stopped"] & (F.col("mark") == 0)
@@ -176,7 +181,7 @@ def _with_words(rows: DataFrame, distinct: DataFrame, judged: DataFrame, field:
         distinct.where(F.size("sents") > 0)
         .withColumn("w", tokens)
         .select(*field, F.explode(F.when(closed, F.col("w")).otherwise(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))).alias("w"))
-        .where(F.col("w").rlike(word))
+        .where(F.col("w").rlike(_WORD))
         .distinct()
     )
     asked = rows.where(F.col("last_word").isNotNull()).select(*field, F.col("last_word").alias("w")).distinct()
@@ -222,7 +227,7 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if("cut").alias("n_cut"),
         F.round(F.count_if("cut") / F.count(F.lit(1)), 4).alias("rate"),
-        F.mode(F.when(F.col("cut"), F.length("value")), deterministic=True).alias("usual_length"),
+        F.mode(F.when(F.col("cut"), F.col("length")), deterministic=True).alias("usual_length"),
     )
 
 
