@@ -124,8 +124,8 @@ def member_positions(spark, sf_dir):
 def graph_overlay(spark, sf_dir):
     """The graph before and after the second half of the period: classes as Default, Modify (in both) or New."""
     v = first_delivery(table(spark, sf_dir, "vertices"), "repo", "id")
-    old = v.where("loaded_at < timestamp '2024-12-01 00:00:00'").select("repo", "id", F.lit(True).alias("old"))
-    e = table(spark, sf_dir, "graph_edge").where("loaded_at >= timestamp '2024-12-01 00:00:00' and src is not null and repo is not null").select("repo", F.col("src").alias("id")).distinct().withColumn("new", F.lit(True))
+    old = v.where("loaded_at < timestamp '2024-12-01 00:00:00Z'").select("repo", "id", F.lit(True).alias("old"))
+    e = table(spark, sf_dir, "graph_edge").where("loaded_at >= timestamp '2024-12-01 00:00:00Z' and src is not null and repo is not null").select("repo", F.col("src").alias("id")).distinct().withColumn("new", F.lit(True))
     both = old.join(e, ["repo", "id"], "full")
     return both.select("repo", "id", F.when(F.col("old").isNull(), "New").when(F.col("new").isNotNull(), "Modify").otherwise("Default").alias("type"))
 
@@ -133,7 +133,7 @@ def graph_overlay(spark, sf_dir):
 def incremental_edges(spark, sf_dir):
     """Edges to add for the classes that arrived last (from 2025-05-01): to and from their package, if missing."""
     v = vertices_of(spark, sf_dir).select("repo", "id", "owner_id", "loaded_at").where("owner_id is not null")
-    new = v.where("loaded_at >= timestamp '2025-05-01 00:00:00'").select("repo", "owner_id", F.col("id").alias("a"))
+    new = v.where("loaded_at >= timestamp '2025-05-01 00:00:00Z'").select("repo", "owner_id", F.col("id").alias("a"))
     pair = new.join(v.select("repo", "owner_id", F.col("id").alias("b")), ["repo", "owner_id"]).where("a <> b")
     want = pair.select("repo", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pair.select("repo", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
     return want.join(edges_of(spark, sf_dir), ["repo", "src", "dst"], "left_anti")
@@ -199,10 +199,10 @@ SELECT n.repo, n.package, classes, classes * (classes - 1) AS implied, coalesce(
 ) GROUP BY ALL""",
     "member_positions": CTE + " SELECT repo, id, coalesce(sum((deleted_at IS NULL)::INT) OVER (PARTITION BY repo, owner_id ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS insert_at FROM vx WHERE owner_id IS NOT NULL",
     "graph_overlay": CTE
-    + """, o AS (SELECT repo, id FROM vx WHERE loaded_at < TIMESTAMP '2024-12-01 00:00:00'),
-g AS (SELECT DISTINCT repo, src AS id FROM graph_edge WHERE loaded_at >= TIMESTAMP '2024-12-01 00:00:00' AND src IS NOT NULL AND repo IS NOT NULL)
+    + """, o AS (SELECT repo, id FROM vx WHERE loaded_at < TIMESTAMPTZ '2024-12-01 00:00:00+00'),
+g AS (SELECT DISTINCT repo, src AS id FROM graph_edge WHERE loaded_at >= TIMESTAMPTZ '2024-12-01 00:00:00+00' AND src IS NOT NULL AND repo IS NOT NULL)
 SELECT coalesce(o.repo, g.repo) AS repo, coalesce(o.id, g.id) AS id, CASE WHEN o.id IS NULL THEN 'New' WHEN g.id IS NOT NULL THEN 'Modify' ELSE 'Default' END AS type FROM o FULL JOIN g ON g.repo = o.repo AND g.id = o.id""",
     "incremental_edges": CTE
-    + """, pr AS (SELECT a.repo, a.id AS x, b.id AS y FROM v a JOIN v b ON b.repo = a.repo AND b.owner_id = a.owner_id AND a.id <> b.id WHERE a.loaded_at >= TIMESTAMP '2025-05-01 00:00:00')
+    + """, pr AS (SELECT a.repo, a.id AS x, b.id AS y FROM v a JOIN v b ON b.repo = a.repo AND b.owner_id = a.owner_id AND a.id <> b.id WHERE a.loaded_at >= TIMESTAMPTZ '2025-05-01 00:00:00+00')
 SELECT repo, src, dst FROM (SELECT repo, x AS src, y AS dst FROM pr UNION SELECT repo, y, x FROM pr) w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo = w.repo AND e.src = w.src AND e.dst = w.dst)""",
 }

@@ -75,7 +75,7 @@ def first_feature_of_method(spark, sf_dir):
     return cm.groupBy("method_name").agg(F.min("feature").alias("feature"))
 
 
-_HALF = "timestamp '2024-12-01 00:00:00'"
+_HALF = "timestamp '2024-12-01 00:00:00Z'"
 
 
 def upsert_features(spark, sf_dir):
@@ -180,11 +180,11 @@ SELECT m.id AS module, m.repo, count(pf.id) AS n_features, coalesce(sum(pf.n), 0
     "bound_functions": f"SELECT DISTINCT a.feature, b.func_id FROM (SELECT DISTINCT feature, {_CLS} AS c FROM code_map WHERE method_name IS NOT NULL AND feature IS NOT NULL) a JOIN (SELECT DISTINCT func_id, {_CLS.replace('method_name', 'func_fullname')} AS c FROM code_function WHERE func_fullname IS NOT NULL) b ON a.c = b.c",
     "first_feature_of_method": "SELECT method_name, min(feature) AS feature FROM code_map WHERE method_name IS NOT NULL AND feature IS NOT NULL GROUP BY method_name",
     "upsert_features": """
-WITH old AS (SELECT * FROM features WHERE loaded_at < TIMESTAMP '2024-12-01 00:00:00'), late AS (SELECT module, feature_id FROM features WHERE loaded_at >= TIMESTAMP '2024-12-01 00:00:00' GROUP BY ALL),
+WITH old AS (SELECT * FROM features WHERE loaded_at < TIMESTAMPTZ '2024-12-01 00:00:00+00'), late AS (SELECT module, feature_id FROM features WHERE loaded_at >= TIMESTAMPTZ '2024-12-01 00:00:00+00' GROUP BY ALL),
 fresh AS (SELECT * FROM late l WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.module IS NOT DISTINCT FROM l.module AND o.feature_id IS NOT DISTINCT FROM l.feature_id))
 SELECT module, feature_id, (SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY module NULLS FIRST, feature_id NULLS FIRST) AS id FROM fresh""",
-    "upsert_edges": "SELECT repo, src, dest FROM graph_edge l WHERE loaded_at >= TIMESTAMP '2024-12-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM graph_edge o WHERE o.loaded_at < TIMESTAMP '2024-12-01 00:00:00' AND o.repo IS NOT DISTINCT FROM l.repo AND o.src IS NOT DISTINCT FROM l.src AND o.dest IS NOT DISTINCT FROM l.dest) GROUP BY ALL",
-    "upsert_methods": "SELECT DISTINCT method_name FROM code_map l WHERE method_name IS NOT NULL AND loaded_at >= TIMESTAMP '2024-12-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM code_map o WHERE o.loaded_at < TIMESTAMP '2024-12-01 00:00:00' AND o.method_name = l.method_name)",
+    "upsert_edges": "SELECT repo, src, dest FROM graph_edge l WHERE loaded_at >= TIMESTAMPTZ '2024-12-01 00:00:00+00' AND NOT EXISTS (SELECT 1 FROM graph_edge o WHERE o.loaded_at < TIMESTAMPTZ '2024-12-01 00:00:00+00' AND o.repo IS NOT DISTINCT FROM l.repo AND o.src IS NOT DISTINCT FROM l.src AND o.dest IS NOT DISTINCT FROM l.dest) GROUP BY ALL",
+    "upsert_methods": "SELECT DISTINCT method_name FROM code_map l WHERE method_name IS NOT NULL AND loaded_at >= TIMESTAMPTZ '2024-12-01 00:00:00+00' AND NOT EXISTS (SELECT 1 FROM code_map o WHERE o.loaded_at < TIMESTAMPTZ '2024-12-01 00:00:00+00' AND o.method_name = l.method_name)",
     "delete_project_rows": """
 WITH gm AS (SELECT id FROM modules WHERE repo = 12), gf AS (SELECT id FROM features WHERE module IN (SELECT id FROM gm))
 SELECT DISTINCT 'code_map' AS table_name, id AS row_id FROM code_map c WHERE NOT EXISTS (SELECT 1 FROM gf WHERE gf.id = c.feature)

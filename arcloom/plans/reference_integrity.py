@@ -49,5 +49,5 @@ WITH refs AS (
 
 ORACLE = {
     "p6_found": _ORPHANS + "SELECT table_name, field_name, row_id, reason FROM orphans",
-    "p6_report": _ORPHANS + "SELECT table_name, field_name, strftime(created_at, '%Y-%m') AS month, reason, count(*) AS n FROM orphans GROUP BY ALL",
+    "p6_report": _ORPHANS + "SELECT table_name, field_name, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n FROM orphans GROUP BY ALL",
 }
