@@ -17,6 +17,8 @@ import numpy as np
 BITS = 15
 DIM = 1 << 15
 ORDERS = (1, 2, 3, 4)
+#: Sentences that are handled at once.
+CHUNK = 512
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -62,6 +64,9 @@ class Ecoc:
         """For each text: index of the label, confidence, and whether the choice is ambiguous."""
         if not texts:
             return np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
+        if len(texts) > CHUNK:  # bounded memory, however many texts there are
+            parts = [self.decide(texts[i : i + CHUNK]) for i in range(0, len(texts), CHUNK)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
         ids, owner = grams(texts)
         n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         order = np.argsort(owner, kind="stable")
@@ -84,11 +89,13 @@ def fit(texts: list[str], labels: list[str], names: list[str], rounds: int = 2)
     names = [x for x in names if x in set(labels)]
     y = np.array([names.index(x) for x in labels])
     keep = np.ones(len(y), bool)
-    ids, owner = grams(texts)
     model = None
     for _ in range(rounds):
-        on = keep[owner]
-        count = np.stack([np.bincount(ids[on & (y[owner] == c)], minlength=DIM) for c in range(len(names))]).astype(np.float64)
+        count = np.zeros((len(names), DIM))
+        for i in range(0, len(texts), CHUNK):
+            ids, owner = grams(texts[i : i + CHUNK])
+            on = keep[i + owner]
+            count += np.bincount(y[i + owner[on]] * DIM + ids[on], minlength=len(names) * DIM).reshape(len(names), DIM)
         total = count.sum(axis=0) + 0.5
         base = total / total.sum()
         freq = (count + 50 * base) / (count.sum(axis=1, keepdims=True) + 50)
