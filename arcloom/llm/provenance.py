@@ -8,13 +8,18 @@ measured in one pass over its whole text:
   language's median over all files, with mostly one- and two-letter names: minified or bundled;
 * template-like names: low diversity, a large share of names that are a stem with a counter:
   generated (a tool's notice at the head says the same, and tools that write hashes do so too);
-* foreign naming: names of a folder and its files that are the same in other repositories, unlike
-  names people give, confirmed by a sketch of the lines shared with those copies: vendored;
+* foreign naming: folder names that neither the names of the file's own repository nor those of its
+  language (the file itself left out) would suggest: vendored by the style alone where it is very
+  strange, with lines that are in other repositories, too, where it is less so. Known copies need no
+  strange style: names of a folder and its files that are the same in other repositories, confirmed
+  by a sketch of the lines shared with those copies;
 * hardly any names, nearly only literals: data saved as code.
 
 Scale: files are read once, only measures of fixed size leave the pass; folder statistics are
 distinct counts combined on the map side; copies are found through at most ``SKETCH`` line hashes a
-file, grouped by (folder, name, hash), so no group of copies is gathered or compared in pairs.
+file, grouped by (folder, name, hash), so no group of copies is gathered or compared in pairs. Names
+are counted in each partition and the counts added up by repository and by language; the files of
+a repository meet its counts in pieces of ``PIECE`` files.
 
 Defined results: null code is never a case; files overwritten by something that is no program of
 their language (dumps, pages) are not data; ties do not occur in thresholds (>=); copies delivered
@@ -38,9 +43,13 @@ from arcloom.tables import cut, table
 
 SAMPLE = 800
 SKETCH = 64
+PIECE = 5000
 MANGLED = 1.2
+#: Bits a letter, and times the typical file's, of a folder name that is foreign by itself, and with copied lines.
+STRANGE, BESIDE = (3.6, 2.5), (3.0, 2.0)
 NUMBERED = 0.09
 
+_PROGRAM = ("java", "js", "py")
 _ID = re.compile(r"[A-Za-z_$][\w$]*", re.A)
 _LITERAL = re.compile(r"[0-9a-fA-F]{12,}|[A-Za-z0-9+/=]{30,}|-?\d+\.\d+|\d+")
 _DECLARES = re.compile(r"\b(?:class|const|var|let|function|window|static|final|def)\b|(?m:^\s*[\w.]+\s*=\s*[\[{(])")
@@ -117,7 +126,7 @@ def sketch_of(code: str) -> list[int]:
 
 
 _MEASURES = (
-    "file_id int, repo int, folder string, name string, lang string, same_kind boolean, entropy double, short double, numbered double, names int, "
+    "file_id int, repo int, ext string, idents string, folder string, name string, lang string, same_kind boolean, entropy double, short double, numbered double, names int, "
     "literal double, notice boolean, declares boolean, tool_path boolean, third_path boolean, sketch array<long>"
 )
 
@@ -133,10 +142,12 @@ def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams])
     literal = sum(map(len, _LITERAL.findall(code))) / max(len(code), 1)
     whole = "/".join(p)
     return (
+        ext,
+        " ".join(distinct) if ext in _PROGRAM else "",
         folder,
         p[-1],
         lang,
-        lang == ext or (lang in ("java", "js", "py") and ext in ("java", "js", "py")),
+        lang == ext or (lang in _PROGRAM and ext in _PROGRAM),
         models[lang].entropy(distinct) if distinct and lang in models else None,
         sum(len(i) <= 2 for i in ids) / n,
         max(numbered, counters if len(distinct) > 12 else 0.0),
@@ -163,19 +174,145 @@ def measures(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.mapInPandas(one, _MEASURES)
 
 
+def _grams(names: list[str]) -> np.ndarray:
+    c = _codes(names)
+    return (c[:-2] * _N + c[1:-1]) * _N + c[2:]
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """(key, grams, n): sparse counts added up by key, one key at a time in sorted partitions."""
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, np.zeros(_N**3, np.int64)
+        for b in batches:
+            for k, g, n in zip(b["key"], b["grams"], b["n"]):
+                if k != key:
+                    if key is not None:
+                        yield _sparse({key: total})
+                    key, total = k, np.zeros(_N**3, np.int64)
+                total[np.asarray(g, np.int64)] += np.asarray(n, np.int64)
+        if key is not None:
+            yield _sparse({key: total})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(one, "key string, grams array<int>, n array<long>")
+
+
+def _sparse(counts: dict[str, np.ndarray]) -> pd.DataFrame:
+    at = {k: np.flatnonzero(c) for k, c in counts.items()}
+    return pd.DataFrame({"key": list(at), "grams": [a.astype(np.int32) for a in at.values()], "n": [counts[k][a] for k, a in at.items()]})
+
+
+class _Counts:
+    """Trigram counts that a file's own can be taken out of."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.context = counts, counts.reshape(_N * _N, _N).sum(axis=1)
+
+    def p(self, asked: np.ndarray, own: np.ndarray, back: np.ndarray) -> np.ndarray:
+        mine = np.array([(own == a).sum() for a in asked])
+        around = np.array([(own // _N == a // _N).sum() for a in asked])
+        return (self.counts[asked] - mine + 5 * back) / (self.context[asked // _N] - around + 5)
+
+
+def name_counts(m: DataFrame) -> DataFrame:
+    """(key, grams, n): trigrams of the names of each repository (r), of each language's identifiers (i) and folders (f)."""
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, np.ndarray] = {}
+        for b in batches:
+            for repo, ext, idents, folder in zip(b["repo"], b["ext"], b["idents"], b["folder"]):
+                ids, fold = (_grams(x) if x else np.zeros(0, np.int64) for x in (idents.split(), [f for f in folder.split("/") if f]))
+                for key, grams in ((f"r{repo}", ids), (f"r{repo}", fold), (f"i{ext}", ids), (f"f{ext}", fold)):
+                    if key not in counts:
+                        counts[key] = np.zeros(_N**3, np.int64)
+                    np.add.at(counts[key], grams, 1)
+            if len(counts) > 200:
+                yield _sparse(counts)
+                counts = {}
+        if counts:
+            yield _sparse(counts)
+
+    return _added(m.select("repo", "ext", "idents", "folder").mapInPandas(one, "key string, grams array<int>, n array<long>"))
+
+
+def styles(m: DataFrame) -> DataFrame:
+    """(file_id, style): bits a letter of the file's strangest folder name, by whichever knows it best of
+    the models of its repository's names and of its language's identifiers and folders, without the file's own."""
+    named = m.where(F.col("ext").isin(*_PROGRAM) & F.col("repo").isNotNull())
+    counts = cut(name_counts(named))
+
+    def dense(grams: list[int], n: list[int]) -> np.ndarray:
+        c = np.zeros(_N**3, np.int64)
+        c[np.asarray(grams, np.int64)] = np.asarray(n, np.int64)
+        return c
+
+    # a row a language and kind
+    of_lang = {r["key"]: dense(r["grams"], r["n"]) for r in counts.where("key not like 'r%'").collect()}
+    shared = m.sparkSession.sparkContext.broadcast(of_lang)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs: dict[str, tuple] = {}
+        for ext in {k[1:] for k in shared.value}:
+            c2 = shared.value[f"i{ext}"].reshape(_N, _N, _N).sum(axis=0)
+            c1 = c2.sum(axis=0) + 1
+            p2 = (c2 + 5 * c1 / c1.sum()) / (c2.sum(axis=1, keepdims=True) + 5)
+            langs[ext] = p2, _Counts(shared.value[f"i{ext}"]), _Counts(shared.value[f"f{ext}"])
+        repo = None
+        for b in batches:
+            out = []
+            for i, ext, idents, folder, grams, n in zip(b["file_id"], b["ext"], b["idents"], b["folder"], b["grams"], b["n"]):
+                if grams is not None:
+                    repo = _Counts(dense(grams, n))
+                    continue
+                own_i = _grams(idents.split()) if idents else np.zeros(0, np.int64)
+                own_f = _grams(folder.split("/"))
+                p2, of_ids, of_folders = langs[ext]
+                bits = 0.0
+                for f in folder.split("/"):
+                    if len(f) >= 3:
+                        asked = _grams([f])[1:]
+                        pi = of_ids.p(asked, own_i, p2[asked // _N % _N, asked % _N])
+                        pf = of_folders.p(asked, own_f, pi)
+                        pr = repo.p(asked, np.concatenate([own_i, own_f]), pi)
+                        bits = max(bits, min(float(-np.log2(p).mean()) for p in (pi, pf, pr)))
+                out.append((i, bits))
+            yield pd.DataFrame(out, columns=["file_id", "style"]).astype({"file_id": "int32", "style": "float64"})
+
+    pieces = named.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    files = named.where("folder <> ''").select("file_id", "repo", "ext", "idents", "folder").join(pieces, "repo")
+    files = files.select(F.concat(F.lit("r"), "repo").alias("key"), F.pmod(F.xxhash64("file_id"), "pieces").cast("int").alias("piece"), "file_id", "ext", "idents", "folder")
+    repos = counts.join(pieces.select(F.concat(F.lit("r"), "repo").alias("key"), "pieces"), "key").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    both = repos.unionByName(files, allowMissingColumns=True).repartition("key", "piece").sortWithinPartitions("key", "piece", F.col("file_id").asc_nulls_first())
+    return both.select("file_id", "ext", "idents", "folder", "grams", "n").mapInPandas(one, "file_id int, style double")
+
+
+def strange(m: DataFrame) -> DataFrame:
+    """(file_id): files in folders with foreign names, by these alone or with lines of other repositories beside them."""
+    s = cut(styles(m))
+    typical = s.join(m.select("file_id", "ext"), "file_id").groupBy("ext").agg(F.percentile_approx("style", 0.5).alias("typical"))
+    known = m.join(s, "file_id").join(F.broadcast(typical), "ext").where("same_kind and names > 0")
+
+    def above(bits: float, times: float):
+        return (F.col("style") >= bits) & (F.col("style") >= times * F.col("typical"))
+
+    near = known.where(above(*BESIDE) & ~above(*STRANGE)).select("file_id", F.explode("sketch").alias("h"))
+    lines = m.select("repo", F.explode("sketch").alias("h")).groupBy("h").agg((F.min("repo") < F.max("repo")).alias("copied"))
+    overlap = near.join(lines, "h").groupBy("file_id").agg(F.avg(F.col("copied").cast("double")).alias("overlap"))
+    return known.where(above(*STRANGE)).select("file_id").unionByName(overlap.where("overlap >= 0.7").select("file_id")).distinct()
+
+
 def foreign(m: DataFrame) -> DataFrame:
     """(file_id): files whose folder and name are the same in other repositories, and whose lines are, too."""
     named = m.where(F.col("folder") != "").select("file_id", "repo", "folder", "name", "sketch")
     pairs = named.select("folder", "name", "repo").distinct()
     names = pairs.groupBy("folder", "name").agg(F.count(F.lit(1)).alias("r")).groupBy("folder").agg(F.sum("r").alias("pairs"), F.count(F.lit(1)).alias("n"))
     repos = pairs.select("folder", "repo").distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("repos"))
-    style = names.join(repos, "folder").where("repos >= 2").withColumn("share", F.col("pairs") / (F.col("n") * F.col("repos"))).where("share >= 0.15")
-    cand = named.join(style.select("folder", "share", "repos"), "folder")
+    style = names.join(repos, "folder").where("repos >= 2").where(F.col("pairs") / (F.col("n") * F.col("repos")) >= 0.15)
+    cand = named.join(style.select("folder"), "folder")
     lines = cand.select("file_id", "repo", "folder", "name", F.explode("sketch").alias("h"))
     known = lines.select("folder", "name", "h", "repo").distinct().groupBy("folder", "name", "h").agg((F.count(F.lit(1)) > 1).alias("copied"))
     overlap = lines.join(known, ["folder", "name", "h"]).groupBy("file_id").agg(F.avg(F.col("copied").cast("double")).alias("overlap"))
-    sure = (F.col("overlap") >= 0.7) | ((F.col("share") >= 0.3) & (F.col("repos") >= 8))
-    return cand.select("file_id", "share", "repos").join(overlap, "file_id", "left").where(sure).select("file_id").distinct()
+    return overlap.where("overlap >= 0.7").select("file_id")
 
 
 def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -183,8 +320,9 @@ def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     m = cut(measures(files, sample).dropDuplicates(["file_id"]))
     typical = m.where("entropy is not null").groupBy("lang").agg(F.percentile_approx("entropy", 0.5).alias("typical"))
     far = foreign(m).withColumn("foreign", F.lit(True))
-    both = m.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left")
-    program = F.col("lang").isin("java", "js", "py")
+    odd = strange(m).withColumn("strange", F.lit(True))
+    both = m.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left").join(odd, "file_id", "left")
+    program = F.col("lang").isin(*_PROGRAM)
     kind = (
         F.when(F.coalesce("foreign", F.lit(False)) | (F.col("third_path") & F.col("same_kind")), "vendored")
         .when(program & (F.col("entropy") >= MANGLED * F.col("typical")) & (F.col("short") >= 0.38) & (F.col("names") >= 12) & F.col("declares"), "minified")
@@ -192,6 +330,7 @@ def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
         .when((program | (F.col("lang") == "xml")) & (F.col("numbered") >= NUMBERED) & F.col("same_kind") & (F.col("declares") | (F.col("lang") == "xml")), "generated")
         .when((F.col("lang") == "json") & (F.col("literal") >= 0.3) & F.col("same_kind"), "generated")
         .when(program & (F.col("literal") >= 0.4) & (F.col("names") <= 30) & F.col("declares"), "data")
+        .when(F.col("strange"), "vendored")
     )
     return both.select("file_id", "repo", "lang", kind.alias("kind")).where("kind is not null")
 

@@ -165,3 +165,15 @@ def test_provenance(spark):
     got = {r["file_id"]: r["kind"] for r in provenance.judged(df).collect()}
     assert got == {200: "generated", 201: "minified", 202: "data", 203: "generated"} | {100 + r: "vendored" for r in range(5)}
     assert provenance.judged(df.limit(0)).count() == 0
+
+
+def test_a_library_in_one_repository_is_found_by_its_style(spark):
+    rnd = random.Random(12)
+    rows = [(i, i % 6, f"src/main/java/org/app/{['billing', 'orders', 'rules'][i % 3]}/Own{i}.java", java(f"Own{i}", rnd)) for i in range(120)]
+    lib = java("RingPool", rnd).replace("org.app.ringpool", "qwyxzk.vjq")
+    rows += [(500, 2, "src/main/java/qwyxzk/vjq/RingPool.java", lib)]
+    # a folder with a name that the repository's own names suggest, and other names of the same folder with other lines
+    rows += [(501, 3, "src/main/java/org/app/customer/Lone.java", java("Lone", rnd))]
+    rows += [(600 + r, r, f"src/main/java/org/app/report/Same.java", java(f"Same{r}", rnd)) for r in range(6)]
+    df = spark.createDataFrame(rows, "file_id int, repo int, file_path string, file_code string")
+    assert {r["file_id"]: r["kind"] for r in provenance.judged(df).collect()} == {500: "vendored"}
