@@ -150,26 +150,58 @@ def composite(ari: Column, sep: Column, small: Column, over: Column, under: Colu
     return 0.45 * ari + 0.45 * sep - (0.40 * small + 0.20 * over + 0.10 * under + 0.20 * cv + 0.15 * dens)
 
 
-def cpm_communities(edges: DataFrame, keys: list[str], gamma: float, seed: int = 2025, rounds: int = 8) -> DataFrame:
+def cpm_communities(edges: DataFrame, keys: list[str], gamma: float, seed: int = 2025, rounds: int | None = None) -> DataFrame:
     """(keys, id, label): communities by local moving under the constant Potts model, many nodes at a time.
 
-    In each round half of the nodes (by a hash of the seed and the round, so neighbours do not swap
-    forever) move to the neighbouring community of the largest gain: weight to it minus gamma times
-    its size. Everything is joins on nodes and communities, so no graph has to fit a task.
+    In each round half of the nodes (by a hash of the seed and the round) move to the neighbouring
+    community of the largest gain: weight to it minus gamma times its size. Only moves that gain are
+    made, so ties stay. It ends when no node wants to move. Moves of one round may spoil each other: a
+    round that does not raise the quality is taken back, and instead each community is part of one move
+    at most, which always raises it, so no state comes again. With ``rounds``, an error is raised where
+    these are not enough. Everything is joins on nodes and communities, so no graph has to fit a task.
     """
     w = edges.select(*keys, "src", "dst", "w").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst").groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
     w = cut(w)
     now = cut(w.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for n in range(rounds):
-        to = w.join(now.select(*keys, F.col("id").alias("dst"), "label"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
-        size = now.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-        own = now.select(*keys, "id", "label").withColumn("w", F.lit(0.0))
-        gain = to.unionByName(own).groupBy(*keys, "id", "label").agg(F.sum("w").alias("w")).join(size, [*keys, "label"]).join(now.withColumnRenamed("label", "old"), [*keys, "id"])
-        value = F.col("w") - gamma * (F.col("n") - (F.col("label") == F.col("old")).cast("int"))
-        best = gain.groupBy(*keys, "id").agg(F.max_by("label", F.struct(value.alias("v"), F.xxhash64("label"))).alias("to"), F.first("old").alias("old"))
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(2)) == 0
-        now = cut(best.select(*keys, "id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label")))
-    return now
+    last, n = None, 0  # the state before a round of many moves, with its quality
+    while True:
+        best = cut(_wishes(w, now, keys, gamma))
+        # half the weight inside and half the pairs inside, seen from each node
+        s = best.agg(F.sum((F.col("w") - gamma * (F.col("n") - 1)) / 2).alias("quality"), F.count_if(F.col("to") != F.col("old")).alias("wishes")).first()
+        if not s["wishes"]:
+            return now
+        if rounds is not None and n >= rounds:
+            raise RuntimeError(f"{s['wishes']} nodes still want to move after {rounds} rounds")
+        if last is not None and s["quality"] <= last[1] + 1e-9:
+            moves, last = _apart(last[0], keys, seed, n), None
+        else:
+            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(2)) == 0
+            moves, last = best.select(*keys, "id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label")), (best, s["quality"])
+        now, n = cut(moves), n + 1
+
+
+def _wishes(w: DataFrame, now: DataFrame, keys: list[str], gamma: float) -> DataFrame:
+    """(keys, id, old, to, gain, w, n): where each node wants to be, with its weight to and the size of its own community."""
+    to = w.join(now.select(*keys, F.col("id").alias("dst"), "label"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
+    size = now.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    own = now.select(*keys, "id", "label").withColumn("w", F.lit(0.0))
+    gain = to.unionByName(own).groupBy(*keys, "id", "label").agg(F.sum("w").alias("w")).join(size, [*keys, "label"]).join(now.withColumnRenamed("label", "old"), [*keys, "id"])
+    home = F.col("label") == F.col("old")
+    value = F.round(F.col("w") - gamma * (F.col("n") - home.cast("int")), 9)
+    best = gain.groupBy(*keys, "id").agg(
+        F.max_by("label", F.struct(value.alias("v"), home.alias("home"), F.xxhash64("label").alias("h"))).alias("to"), F.first("old").alias("old"),
+        (F.max(value) - F.max(F.when(home, value))).alias("gain"), F.max(F.when(home, F.col("w"))).alias("w"), F.max(F.when(home, F.col("n"))).alias("n"),
+    )
+    return best
+
+
+def _apart(best: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
+    """(keys, id, label) after moves of which no two share a community, the largest gains first."""
+    rank = F.struct("gain", F.xxhash64(F.lit(seed), F.lit(n), "id"), "id")
+    asked = best.where(F.col("to") != F.col("old")).select(*keys, "id", F.explode(F.array("old", "to")).alias("label"), rank.alias("rank"))
+    first = asked.groupBy(*keys, "label").agg(F.max_by("id", "rank").alias("id"))
+    moves = first.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("won"))
+    return best.join(moves, [*keys, "id"], "left").select(*keys, "id", F.when(F.col("won") == 2, F.col("to")).otherwise(F.col("old")).alias("label"))
 
 
 def consensus(runs: DataFrame, edges: DataFrame, keys: list[str], tau: float) -> DataFrame:

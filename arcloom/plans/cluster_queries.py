@@ -110,7 +110,7 @@ def consensus_communities(spark, sf_dir):
     e = edges_of(spark, sf_dir).withColumn("w", F.lit(1.0))
     runs = None
     for seed in (1, 2, 3):
-        r = c.cpm_communities(e, ["repo"], 0.05, seed, 4).withColumn("run", F.lit(seed))
+        r = c.cpm_communities(e, ["repo"], 0.05, seed).withColumn("run", F.lit(seed))
         runs = r if runs is None else runs.unionByName(r)
     got = c.consensus(runs, e, ["repo"], 0.6)
     return got.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("classes"))

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,26 @@ def test_communities_of_two_cliques(spark):
     assert len({got[f"x{i}"] for i in range(5)}) == 1 and len({got[f"y{i}"] for i in range(5)}) == 1 and got["x1"] != got["y1"]
 
 
+def test_communities_are_settled(spark):
+    rnd = Random(5)
+    e = {(a, a + 1) for a in range(199)} | {tuple(sorted(rnd.sample(range(200), 2))) for _ in range(250)} | {(0, b) for b in range(1, 60)}
+    df = spark.createDataFrame([(1, f"n{a}", f"n{b}", 1.0) for a, b in sorted(e)] + [(2, "a", "b", 1.0)], "repo int, src string, dst string, w double")
+    got = {(r["repo"], r["id"]): r["label"] for r in clusters.cpm_communities(df, ["repo"], 0.05).collect()}
+    size = {x: sum(v == x for (r, _), v in got.items() if r == 1) for x in got.values()}
+    near = {}
+    for a, b in e:
+        for i, j in ((a, b), (b, a)):
+            x = got[1, f"n{j}"]
+            near.setdefault(i, {})[x] = near.setdefault(i, {}).get(x, 0) + 1
+    for i, w in near.items():
+        own = got[1, f"n{i}"]
+        stay = w.get(own, 0) - 0.05 * (size[own] - 1)
+        assert all(k - 0.05 * size[x] <= stay + 1e-6 for x, k in w.items() if x != own)
+    assert got[2, "a"] == got[2, "b"]
+    with pytest.raises(RuntimeError):
+        clusters.cpm_communities(df, ["repo"], 0.05, rounds=1)
+
+
 def test_java_arcs(spark):
     a = "package p;\nimport q.Helper;\n@Tag public class A extends Base implements Go {\n Helper h = new Helper();\n Color c;\n static { }\n public void run(int n) { h.help(n); go(); Color x = Color.RED; }\n}\nenum Color { RED }\ninterface Go { void go(); }\nclass Base { void go() { } }\n@interface Tag { }\n"
     b = "package q;\npublic class Helper { public int help(int n) { return n; } }\n"
