@@ -59,6 +59,11 @@ _NOTICE = re.compile(
     r"(?i)@generated\b|<auto-generated|auto-?generated (?:file|by|code)|(?:code|file) (?:was |is )?(?:generated|produced|created) (?:by|automatically|from)|generated (?:by|from) the|was created automatically"
     r"|automatisch (?:erzeugt|generiert|erstellt)|(?:produit|généré|genere) (?:par|automatiquement)|自动生成|自動生成|generado (?:por|automáticamente)|gerado (?:por|automaticamente)|(?:сгенерирован|создан) автоматически|do not edit!|@Generated\s*\("
 )
+#: All that may stand before the first declaration: comments, annotations, imports, prologues.
+_HEAD = re.compile(
+    r"(?:[\s\ufeff]++|//[^\n\r]*+|/\*[\s\S]*?\*/|#[^\n\r]*+|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![^>]*+>|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|[\"']use strict[\"'];?"
+    r"|(?:package|import|from)\b[^\n\r;]*+;?|@(?!interface\b)[\w.]++(?:\s*\((?:[^()\"]|\"(?:[^\"\\\n]|\\.)*+\"|\([^()]*+\))*+\))?|(?:public|final|abstract)\b)*+"
+)
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0_$^"
 _CODE = np.full(128, len(_ALPHABET), np.int64)
 for _k, _c in enumerate(_ALPHABET):
@@ -68,10 +73,16 @@ for _c in "123456789":
 _N = len(_ALPHABET) + 1
 
 
+def bare(code: str, ext: str) -> tuple[str, str]:
+    """(content language, the code outside comments and literals)."""
+    lang = content_language(code, ext)
+    return lang, code if lang in ("json", "xml") else without_texts(code, ext)
+
+
 def names_of(code: str, ext: str) -> tuple[str, list[str]]:
     """(content language, identifiers) outside comments and literals."""
-    lang = content_language(code, ext)
-    return lang, _ID.findall(code if lang in ("json", "xml") else without_texts(code, ext))
+    lang, text = bare(code, ext)
+    return lang, _ID.findall(text)
 
 
 def _codes(names: list[str]) -> np.ndarray:
@@ -132,7 +143,8 @@ _MEASURES = (
 
 
 def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams]) -> tuple:
-    lang, ids = names_of(code, ext)
+    lang, text = bare(code, ext)
+    ids = _ID.findall(text)
     n = max(len(ids), 1)
     distinct = sorted(set(ids))
     p = (path or "").replace("\\", "/").lower().split("/")
@@ -153,8 +165,8 @@ def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams])
         max(numbered, counters if len(distinct) > 12 else 0.0),
         len(distinct),
         literal,
-        bool(_NOTICE.search(code[:700])),
-        bool(_DECLARES.search(code[:2000])) and not _DUMP.match(code),
+        bool(_NOTICE.search(_HEAD.match(code).group()) or _NOTICE.search(code[:700])),
+        bool(_DECLARES.search(text)) and not _DUMP.match(code),
         bool(re.search(r"(?:^|/)(?:generated(?:-sources|-src)?|src-gen|gen-src|autogen)/", whole)),
         bool(re.search(r"^(?:vendor|third_party|third-party|thirdparty|external|libs)/|(?:^|/)(?:node_modules|bower_components)/", whole)),
         sketch_of(code),

@@ -177,3 +177,13 @@ def test_a_library_in_one_repository_is_found_by_its_style(spark):
     rows += [(600 + r, r, f"src/main/java/org/app/report/Same.java", java(f"Same{r}", rnd)) for r in range(6)]
     df = spark.createDataFrame(rows, "file_id int, repo int, file_path string, file_code string")
     assert {r["file_id"]: r["kind"] for r in provenance.judged(df).collect()} == {500: "vendored"}
+
+
+def test_long_headers_hide_neither_notices_nor_declarations():
+    licence = "/*\n" + " * These terms say nothing of use to anybody.\n" * 80 + " */\n"
+    at = [c.strip().split(" ")[0] for c in provenance._MEASURES.split(",")][2:]
+    for code, notice in (("// auto-generated by a tool\nclass A { }\n", True), ('package a;\nimport b.C;\n@Generated("x")\npublic class A { }\n', True), ("class A { }\n// " + "x " * 400 + "\n// auto-generated by a tool\n", False)):
+        got = dict(zip(at, provenance.measure("a/A.java", licence + code, "java", {})))
+        assert got["declares"] and got["notice"] == notice
+    got = dict(zip(at, provenance.measure("a/A.java", licence.replace("nothing", "class") + "run(1);\n", "java", {})))
+    assert not got["declares"]
