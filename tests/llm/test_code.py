@@ -82,8 +82,8 @@ def test_no_pieces(spark):
 
 
 def test_chain_equals_the_greedy_walk(spark):
-    links = {(f, s): (s + 3 + (s * f) % 5 if s < 90 else None) for f in (1, 2, 3) for s in range(100)}
-    df = spark.createDataFrame([(f, s, s + 4, n) for (f, s), n in links.items()], "file_id int, start int, cut int, next int")
+    links = {(f, s): s + 3 + (s * f) % 5 for f in (1, 2, 3) for s in range(100)}
+    df = spark.createDataFrame([(f, s, n) for (f, s), n in links.items()], "file_id int, pos int, next int")
     want = set()
     for f in (1, 2, 3):
         s = 0
@@ -91,7 +91,57 @@ def test_chain_equals_the_greedy_walk(spark):
             want.add((f, s))
             s = links.get((f, s))
     want = {(f, s) for f, s in want}
-    assert {(r["file_id"], r["start"]) for r in splitting.reachable(df).collect()} == want
+    assert {(r["file_id"], r["pos"]) for r in splitting.reachable(df).collect()} == want
+
+
+def greedy(bounds, max_chars, overlap):
+    """A plain walk: each piece ends at the best boundary it may end at, by the starts given."""
+    n, slack = max(bounds), min(overlap // 4, (max_chars - overlap) // 4)
+    at, out = 0, []
+    while at < n:
+        s = bounds[at][1]
+        reach = s + max_chars
+        end = n if reach >= n else None
+        for r, share in ((1, 0.6), (2, 0.4), (3, 0.25), (4, 0.1)):
+            near = [p for p, (rank, _) in bounds.items() if rank <= r and p <= reach]
+            if end is None and near and max(near) >= max(s + overlap + slack + 1, s + max_chars * share):
+                end = max(near)
+        end = max(p for p in bounds if p <= reach) if end is None else end
+        out.append((s, end))
+        at = end
+    return out
+
+
+def test_any_limit_and_overlap(spark):
+    rnd = random.Random(12)
+    pieces_of = ["x", "é", "🙂", " ", "\t", "\n", "\r\n", "\r", ";", "}\n", "\n\n", "call(a, b);", "long" * 20, "for (;;) {\n"]
+    files, spec = [], []
+    for i in range(70):
+        most = rnd.choice([1, 2, 3, 5, 8, 20, 60, 100, 200])
+        over = rnd.choice([0, most - 1, rnd.randrange(most), most // 10])
+        text = "x" * rnd.choice([1, 100, 700]) if i % 5 == 0 else "".join(rnd.choice(pieces_of) for _ in range(rnd.randrange(200)))
+        files.append((i, f"f.e{i}", text))
+        spec.append((f"e{i}", most, over))
+    f, s = spark.createDataFrame(files, "file_id int, file_path string, file_code string"), spark.createDataFrame(spec, "ext string, max_chars int, overlap_chars int")
+    got, bounds = {}, {}
+    for r in splitting.split(f, s).collect():
+        got.setdefault(r["file_id"], []).append(r)
+    for r in splitting.starts_of(splitting.boundaries_of(splitting.oversized(f, s))).collect():
+        bounds.setdefault(r["file_id"], {})[r["pos"]] = (r["rank"], r["start"])
+    for (i, _, text), (_, most, over) in zip(files, spec):
+        assert (i in got) == (len(text) > most)
+        if i in got:
+            ps = sorted(got[i], key=lambda r: r["piece"])
+            check_pieces(ps, text, most, over)
+            assert all(over <= a["stop"] - b["start"] <= over + max(1, over // 4) for a, b in zip(ps, ps[1:]))
+            assert [(p["start"], p["stop"]) for p in ps] == greedy(bounds[i], most, over)
+
+
+@pytest.mark.parametrize("most, over", [(0, 0), (10, 10), (10, -1), (-5, 0)])
+def test_a_spec_that_cannot_be_met_is_an_error(spark, most, over):
+    f = spark.createDataFrame([(1, "a.java", "x" * 500)], "file_id int, file_path string, file_code string")
+    with pytest.raises(Exception, match="split spec"):
+        splitting.split(f, spark.createDataFrame([("java", most, over)], "ext string, max_chars int, overlap_chars int")).collect()
 
 
 # -- mixing ------------------------------------------------------------------------------------
