@@ -57,6 +57,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Ecoc:
     labels: list[str]
     weights: np.ndarray
+    #: The numbers of the labels among all classes.
+    classes: np.ndarray
     sharp: float = 8.0
     margin: float = 0.5
 
@@ -84,27 +86,39 @@ class Ecoc:
         return loss.argmin(axis=1), p.max(axis=1), (two[:, 1] - two[:, 0] < self.margin) if loss.shape[1] > 1 else np.zeros(len(texts), bool)
 
 
+def counted(texts: list[str], y: np.ndarray, classes: int, model: Ecoc | None = None) -> np.ndarray:
+    """N-gram counts (classes x DIM) of sentences of class ``y``; those that ``model`` contradicts are left out."""
+    count = np.zeros((classes, DIM), np.int64)
+    for i in range(0, len(texts), CHUNK):
+        some, of = texts[i : i + CHUNK], y[i : i + CHUNK]
+        ids, owner = grams(some)
+        if model is not None:
+            on = (model.classes[model.decide(some)[0]] == of)[owner]
+            ids, owner = ids[on], owner[on]
+        count += np.bincount(of[owner] * DIM + ids, minlength=classes * DIM).reshape(classes, DIM)
+    return count
+
+
+def model_from(count: np.ndarray, names: list[str]) -> Ecoc:
+    """The binary classifiers of all bits, from the counts of the classes that have any."""
+    classes = np.flatnonzero(count.sum(axis=1))
+    count = count[classes].astype(np.float64)
+    total = count.sum(axis=0) + 0.5
+    base = total / total.sum()
+    freq = (count + 50 * base) / (count.sum(axis=1, keepdims=True) + 50)
+    code = codebook(len(classes))
+    weights = np.zeros((DIM, BITS), np.float32)
+    for b in range(BITS):
+        up, down = code[:, b] > 0, code[:, b] < 0
+        if up.any() and down.any():
+            weights[:, b] = np.log(freq[up].mean(axis=0)) - np.log(freq[down].mean(axis=0))
+    return Ecoc([names[c] for c in classes], weights, classes)
+
+
 def fit(texts: list[str], labels: list[str], names: list[str], rounds: int = 2) -> Ecoc:
     """Fit on labelled sentences. Labels may be noisy: after the first round, sentences whose label is contradicted are left out."""
-    names = [x for x in names if x in set(labels)]
-    y = np.array([names.index(x) for x in labels])
-    keep = np.ones(len(y), bool)
+    y = np.array([names.index(x) for x in labels], np.int64)
     model = None
     for _ in range(rounds):
-        count = np.zeros((len(names), DIM))
-        for i in range(0, len(texts), CHUNK):
-            ids, owner = grams(texts[i : i + CHUNK])
-            on = keep[i + owner]
-            count += np.bincount(y[i + owner[on]] * DIM + ids[on], minlength=len(names) * DIM).reshape(len(names), DIM)
-        total = count.sum(axis=0) + 0.5
-        base = total / total.sum()
-        freq = (count + 50 * base) / (count.sum(axis=1, keepdims=True) + 50)
-        code = codebook(len(names))
-        weights = np.zeros((DIM, BITS), np.float32)
-        for b in range(BITS):
-            up, down = code[:, b] > 0, code[:, b] < 0
-            if up.any() and down.any():
-                weights[:, b] = np.log(freq[up].mean(axis=0)) - np.log(freq[down].mean(axis=0))
-        model = Ecoc(names, weights)
-        keep = model.decide(texts)[0] == y
+        model = model_from(counted(texts, y, len(names), model), names)
     return model

@@ -1,8 +1,9 @@
 """Problem 10: the language of every document and of every segment of a mixed one.
 
 The classifier (``ecoc``) is fitted on a bounded sample of the documents whose label names a
-language: the ``sample`` rows with the least hash of their key (default 6000; the bound does not
-grow with the corpus). Everything else covers every document and its whole text.
+language: about ``sample`` rows, by the hash of their key (default 6000; the bound does not grow
+with the corpus). They are counted in the executors, and only counts of fixed size reach the
+driver. Everything else covers every document and its whole text.
 
 Defined results: null, empty and blank texts, and texts of code, traces, numbers or symbols only,
 have no sentence and so no language; a document's languages are those of its full sentences, an
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm.ecoc import Ecoc, fit
-from arcloom.llm.prose import LANGS, NAMES, bare, language_of_label, sentences
-from arcloom.tables import table
+from arcloom.llm.ecoc import DIM, Ecoc, counted, model_from
+from arcloom.llm.prose import LANGS, NAMES, bare, sentences
+from arcloom.llm.sampling import TASKS, drawn, gathered, sparse
+from arcloom.tables import cut, table
 
 SAMPLE = 6000
 _SEGMENT = "array<struct<lang:string,confidence:double,ambiguous:boolean,first:int,sentences:int,chars:int>>"
@@ -35,15 +38,32 @@ def named_language(label):
 
 
 def model_of(docs: DataFrame, sample: int = SAMPLE) -> Ecoc | None:
-    """Fit on the ``sample`` labelled documents with the least hash of doc_id."""
-    rows = docs.where(F.col("text").isNotNull() & named_language(F.col("lang")).isNotNull()).select("doc_id", "text", "lang")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    texts, labels = [], []
-    for r in got:
-        for s in sentences(r["text"]):
-            texts.append(bare(s))
-            labels.append(language_of_label(r["lang"]))
-    return fit(texts, labels, list(LANGS)) if texts else None
+    """Fit on about ``sample`` of the labelled documents; their n-grams are counted in the executors, once for
+    the first model and once without the sentences it contradicts."""
+    labelled = docs.select("doc_id", F.array_position(F.array(*[F.lit(x) for x in LANGS]), named_language(F.col("lang"))).cast("int").alias("y"), "text").where("y > 0")
+    rows = cut(drawn(labelled, "doc_id", sample).where("text is not null").repartition(TASKS, "doc_id"))
+    model = None
+    for _ in range(2):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(LANGS), DIM), np.int64)
+            for b in batches:
+                texts, y = [], []
+                for t, k in zip(b["text"], b["y"]):
+                    got = [bare(s) for s in sentences(t)]
+                    texts += got
+                    y += [k - 1] * len(got)
+                total += counted(texts, np.array(y, np.int64), len(LANGS), shared.value)
+            yield from sparse({k: c for k, c in enumerate(total) if c.any()})
+
+        total = np.zeros((len(LANGS), DIM), np.int64)
+        for k, at, n in gathered(rows.mapInPandas(count, "key int, at array<int>, n array<long>")):
+            total[k, at] += n
+        if not total.any():
+            return model
+        model = model_from(total, list(LANGS))
+    return model
 
 
 def segments_of(text: str | None, model: Ecoc) -> list[dict]:
