@@ -3,10 +3,10 @@
 Comments and literals are taken out by the syntax of the content (``extract``), cut into
 sentences, and broken into the subwords of a public tokenizer. A sentence goes to the class of
 the highest posterior under smoothed unigram counts of subwords: one class for each language and
-an explicit class for code. The counts come from a bounded, documented sample: the ``sample``
-labelled documents and the ``code_sample`` source files with the least hash of their keys (the
-files' code without comments and literals, and literals that are queries, are the code class).
-Classification covers every text of every file.
+an explicit class for code. The counts come from a bounded, documented sample: about ``sample``
+labelled documents and ``code_sample`` source files, by the hashes of their keys (the whole files'
+code without comments and literals, and literals that are queries, are the code class). They are
+counted in the executors. Classification covers every text of every file.
 
 Defined results: null code has no text; a text counts for a language with at least four words or
 eight Han or kana characters of that language in one comment or literal; names inside a sentence
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from arcloom.llm.extract import texts, without_texts
 from arcloom.llm.languages import named_language
 from arcloom.llm.prose import LANGS, bare, han_in, language_of_label, sentences
+from arcloom.llm.sampling import TASKS, drawn, gathered, sparse
 from arcloom.llm.syntax import extension
 from arcloom.llm.tokens import TOKENIZERS
 from arcloom.tables import table
@@ -86,26 +87,44 @@ class Unigrams:
         return best, float(1 / np.exp(s - s[best]).sum())
 
 
-def fit(docs: DataFrame, files: DataFrame, folder: str, sample: int = SAMPLE, code_sample: int = CODE_SAMPLE) -> Unigrams:
-    enc = subwords(folder)
-    counts = np.zeros((len(CLASSES), enc.n_vocab), np.float64)
+def _class_of_document(text: str, label: str) -> list[tuple[int, str]]:
+    c = CLASSES.index(language_of_label(label))
+    return [(c, " " + bare(s)) for s in sentences(text)]
+
+
+def _class_of_code(code: str, ext: str) -> list[tuple[int, str]]:
+    plain = re.sub(r"\s+", " ", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", without_texts(code, ext))).lower()
+    c = len(CLASSES) - 1
+    return [(c, " " + plain)] + [(c, " " + bare(t)) for _, t in texts(code, ext)[1] if _QUERY.match(t)]
 
-    def count(c: int, text: str) -> None:
-        np.add.at(counts[c], enc.encode_ordinary(text), 1)
 
-    rows = docs.where(F.col("text").isNotNull() & named_language(F.col("lang")).isNotNull()).select("doc_id", "text", "lang")
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
-        c = CLASSES.index(language_of_label(r["lang"]))
-        for s in sentences(r["text"]):
-            count(c, " " + bare(s))
+def _counts(rows: DataFrame, parts, folder: str) -> DataFrame:
+    """(key, at, n): subword counts of ``parts(text, kind)`` of the rows (text, kind), a few rows a task."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = subwords(folder)
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for text, kind in zip(b["text"], b["kind"]):
+                for c, t in parts(text, kind):
+                    if c not in total:
+                        total[c] = np.zeros(enc.n_vocab, np.int64)
+                    np.add.at(total[c], enc.encode_ordinary(t), 1)
+        yield from sparse(total)
+
+    return rows.repartition(TASKS).mapInPandas(count, "key int, at array<int>, n array<long>")
+
+
+def fit(docs: DataFrame, files: DataFrame, folder: str, sample: int = SAMPLE, code_sample: int = CODE_SAMPLE) -> Unigrams:
+    """Counts of both samples, made in the executors; the driver adds up ``TASKS`` sparse rows a class."""
+    labelled = docs.select("doc_id", "text", F.col("lang").alias("kind")).where(named_language(F.col("lang")).isNotNull())
+    prose = drawn(labelled, "doc_id", sample).where("text is not null").select("text", "kind")
     # labels may be wrong: a class's counts that other classes explain far better are small, smoothing absorbs them
-    some = files.where(F.col("file_code").isNotNull()).select("file_id", extension(F.col("file_path")).alias("ext"), "file_code")
-    for r in some.orderBy(F.xxhash64("file_id"), "file_id").limit(code_sample).collect():
-        code = without_texts(r["file_code"], r["ext"])
-        count(len(CLASSES) - 1, " " + re.sub(r"\s+", " ", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", code[:20000])).lower())
-        for _, t in texts(r["file_code"], r["ext"])[1]:
-            if _QUERY.match(t):
-                count(len(CLASSES) - 1, " " + bare(t))
+    coded = files.select("file_id", F.col("file_code").alias("text"), extension(F.col("file_path")).alias("kind"))
+    code = drawn(coded, "file_id", code_sample).where("text is not null").dropDuplicates(["file_id"]).select("text", F.coalesce("kind", F.lit("")).alias("kind"))
+    counts = np.zeros((len(CLASSES), subwords(folder).n_vocab), np.float64)
+    for c, at, n in gathered(_counts(prose, _class_of_document, folder).unionByName(_counts(code, _class_of_code, folder))):
+        counts[c, at] += n
     return Unigrams(counts)
 
 
