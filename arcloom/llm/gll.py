@@ -7,22 +7,28 @@ return state and input position, with as many parents as there are callers), so
 polynomial time and space. What a state does on a token is tabulated on first use, by FIRST and
 FOLLOW sets; while there is one parse with one choice the machine runs without any bookkeeping.
 
-Several start rules may run together in the same stack: the dialects of a language. Rules must not
-be left recursive.
+The dialects of a language run together in the same stack: what only some of them have stands
+behind a gate, and every parse carries the set of dialects that have all it went through, so one
+pass over the tokens tells which dialects accept a text. Parses of different sets share no stack
+node. Several start rules may run together, too. Rules must not be left recursive.
 
 EBNF: ``name = alternative | alternative ;`` with 'literal', TOKEN, rule, ( ), [ ], and the
-suffixes * + ?. ``name !'a' !'b' = ...`` is never entered on the tokens a, b.
+suffixes * + ?. ``name !'a' !'b' = ...`` is never entered on the tokens a, b. ``@gate`` before
+something that takes a token admits the dialects of that gate.
 """
 
 from __future__ import annotations
 
 import re
 
-_LEX = re.compile(r"\s+|#[^\n]*|('(?:[^'\\]|\\.)+')|([A-Za-z_]\w*)|([=|;()\[\]*+?!])")
+_LEX = re.compile(r"\s+|#[^\n]*|('(?:[^'\\]|\\.)+')|([A-Za-z_]\w*)|([=|;()\[\]*+?!])|(@\w+)")
 
 
 class Grammar:
-    def __init__(self, text: str, starts: tuple[str, ...], virtual: tuple[str, ...] = ()):
+    def __init__(self, text: str, starts: tuple[str, ...], virtual: tuple[str, ...] = (), dialects: tuple[str, ...] = ("only",), gates: dict[str, tuple[str, ...]] | None = None):
+        self.dialects, self.all = dialects, (1 << len(dialects)) - 1
+        self.gates = {k: sum(1 << dialects.index(d) for d in v) for k, v in (gates or {}).items()}
+        self.gate: list[list[tuple[int, int]]] = []
         self.terms: dict[str, int] = {}
         self.eps: list[list[int]] = []
         self.term: list[list[tuple[int, int]]] = []
@@ -46,6 +52,7 @@ class Grammar:
     # -- reading the rules ------------------------------------------------------------------
     def _state(self) -> int:
         self.eps.append([])
+        self.gate.append([])
         self.term.append([])
         self.call.append([])
         self.rule_of.append(self._now)
@@ -106,7 +113,9 @@ class Grammar:
                 self.eps[a].append(b)
         else:
             a, b = self._state(), self._state()
-            if t[0] == "'":
+            if t[0] == "@":
+                self.gate[a].append((b, self.gates[t[1:]]))
+            elif t[0] == "'":
                 self.term[a].append((self.tid(t[1:-1].replace("\\", "")), b))
             elif t in self.names:
                 self.call[a].append((t, b))
@@ -125,13 +134,16 @@ class Grammar:
         return a, b
 
     # -- sets -------------------------------------------------------------------------------
-    def _closure(self, s: int) -> set[int]:
-        seen, todo = {s}, [s]
+    def _closure(self, s: int) -> dict[int, int]:
+        """States that ``s`` reaches without a token, each with the dialects that may."""
+        seen, todo = {s: self.all}, [s]
         while todo:
             x = todo.pop()
-            for y in self.eps[x] + [y for n, y in self.call[x] if n in self.nullable]:
-                if y not in seen:
-                    seen.add(y)
+            free = self.eps[x] + [y for n, y in self.call[x] if n in self.nullable]
+            for y, g in [(y, self.all) for y in free] + self.gate[x]:
+                g &= seen[x]
+                if g & ~seen.get(y, 0):
+                    seen[y] = seen.get(y, 0) | g
                     todo.append(y)
         return seen
 
@@ -179,18 +191,23 @@ class Grammar:
         return out
 
     def expand(self, s: int, t: int) -> tuple:
-        """All ways to shift ``t`` from state ``s``: (return states pushed, outermost first; new state)."""
+        """All ways to shift ``t`` from state ``s``: (return states pushed, outermost first; new state; dialects)."""
         known = self.moves[s].get(t)
         if known is None:
             self.moves[s][t] = ()  # a left-recursive call would end here
-            out = []
+            out: dict[tuple, int] = {}
             for c in sorted(self.close[s]):
-                out += [((), y) for x, y in self.term[c] if x == t]
+                g = self.close[s][c]
+                for x, y in self.term[c]:
+                    if x == t:
+                        out[(), y] = out.get(((), y), 0) | g
                 for n, y in self.call[c]:
                     if t in self.first[n]:
                         tail = self._only_final(y)
-                        out += [(p if tail else (y, *p), z) for p, z in self.expand(self.start[n], t)]
-            known = self.moves[s][t] = tuple(dict.fromkeys(out))
+                        for p, z, h in self.expand(self.start[n], t):
+                            way = (p if tail else (y, *p), z)
+                            out[way] = out.get(way, 0) | g & h
+            known = self.moves[s][t] = tuple((p, z, g) for (p, z), g in out.items() if g)
         return known
 
     def _only_final(self, s: int) -> bool:
@@ -199,10 +216,16 @@ class Grammar:
 
     # -- recognising ------------------------------------------------------------------------
     def accepts(self, tokens: list, optional: list[bool] | None = None, inserted: int | None = None) -> tuple[bool, int]:
-        """Whether any start rule derives ``tokens`` (each a terminal, or a tuple of those it may be),
-        and how far the longest parse came. Before a token marked ``optional``, the terminal
+        """Whether any dialect derives ``tokens``, and how far the longest parse came."""
+        got, at = self.accepting(tokens, optional, inserted)
+        return got != 0, at
+
+    def accepting(self, tokens: list, optional: list[bool] | None = None, inserted: int | None = None) -> tuple[int, int]:
+        """The set of dialects (bits) whose start rules derive ``tokens`` (each a terminal, or a tuple of those
+        it may be), and how far the longest parse came. Before a token marked ``optional``, the terminal
         ``inserted`` may be put where no parse could go on otherwise."""
-        state, node, many = (self.starts[0], None, None) if len(self.starts) == 1 else (0, None, {s: [None] for s in self.starts})
+        live = self.all
+        state, node, many = (self.starts[0], None, None) if len(self.starts) == 1 else (0, None, {(s, live): [None] for s in self.starts})
         moves, pops, follow, expand = self.moves, self.pops, self.follow_of, self.expand
         for i, t in enumerate(tokens):
             if many is None and t.__class__ is int:
@@ -216,71 +239,71 @@ class Grammar:
                         s, n = n[0], n[1]
                         continue
                     break
-                if len(mv) == 1 and not back:
-                    pushed, state = mv[0]
+                if len(mv) == 1 and not back and mv[0][2] & live:
+                    pushed, state, g = mv[0]
+                    live &= g
                     for r in pushed:
                         n = [r, n]
                     node = n
                     continue
-            now = many if many is not None else {state: [node]}
+            now = many if many is not None else {(state, live): [node]}
             new = self._step(now, t)
             if not new and optional is not None and optional[i]:
                 mid = self._step(now, inserted)
                 new = self._step(mid, t) if mid else mid
             if not new:
-                return False, i
+                return 0, i
+            many = new
             if len(new) == 1:
-                (state, nodes), many = next(iter(new.items())), None
+                ((state, live), nodes), = new.items()
                 if len(nodes) == 1:
-                    node = nodes[0]
-                else:
-                    many = new
-            else:
-                many = new
-        now = many if many is not None else {state: [node]}
-        if self._ends(now):
-            return True, len(tokens)
-        if optional is not None and len(optional) > len(tokens) and optional[len(tokens)]:
+                    node, many = nodes[0], None
+        now = many if many is not None else {(state, live): [node]}
+        got = self._ends(now)
+        if not got and optional is not None and len(optional) > len(tokens) and optional[len(tokens)]:
             mid = self._step(now, inserted)
-            if mid and self._ends(mid):
-                return True, len(tokens)
-        return False, len(tokens)
+            got = self._ends(mid) if mid else 0
+        return got, len(tokens)
 
-    def _step(self, now: dict[int, list], t) -> dict[int, list]:
-        new: dict[int, list] = {}
-        shared: dict[int, list] = {}
+    def _step(self, now: dict[tuple[int, int], list], t) -> dict[tuple[int, int], list]:
+        new: dict[tuple[int, int], list] = {}
+        shared: dict[tuple[int, int], list] = {}
         done = set()
         for tid in t if t.__class__ is tuple else (t,):
-            todo = [(s, n) for s, nodes in now.items() for n in nodes]
+            todo = [(s, live, n) for (s, live), nodes in now.items() for n in nodes]
             while todo:
-                s, n = todo.pop()
-                if (s, id(n), tid) in done:
+                s, live, n = todo.pop()
+                if (s, live, id(n), tid) in done:
                     continue
-                done.add((s, id(n), tid))
-                for pushed, z in self.expand(s, tid):
+                done.add((s, live, id(n), tid))
+                for pushed, z, g in self.expand(s, tid):
+                    g &= live
+                    if not g:
+                        continue
                     m = n
                     for r in pushed:
-                        up = shared.get(r)
+                        up = shared.get((r, g))
                         if up is None:
-                            up = shared[r] = [r, m]
+                            up = shared[r, g] = [r, m]
                         elif not any(x is m for x in up[1:]):
                             up.append(m)
                         m = up
-                    nodes = new.setdefault(z, [])
+                    nodes = new.setdefault((z, g), [])
                     if not any(x is m for x in nodes):
                         nodes.append(m)
                 if n is not None and self.pops[s] and tid in self.follow_of[s]:
-                    todo += [(n[0], p) for p in n[1:]]
+                    todo += [(n[0], live, p) for p in n[1:]]
         return new
 
-    def _ends(self, now: dict[int, list]) -> bool:
-        todo, done = [(s, n) for s, nodes in now.items() for n in nodes], set()
+    def _ends(self, now: dict[tuple[int, int], list]) -> int:
+        todo, done, got = [(s, live, n) for (s, live), nodes in now.items() for n in nodes], set(), 0
         while todo:
-            s, n = todo.pop()
-            if (s, id(n)) in done or not self.pops[s]:
+            s, live, n = todo.pop()
+            if (s, live, id(n)) in done or not self.pops[s]:
                 continue
-            done.add((s, id(n)))
+            done.add((s, live, id(n)))
             if n is None:
-                return True
-            todo += [(n[0], p) for p in n[1:]]
-        return False
+                got |= live
+            else:
+                todo += [(n[0], live, p) for p in n[1:]]
+        return got

@@ -26,7 +26,7 @@ _JAVA_SOFT = "sealed permits record yield non".split()
 
 
 def java(text: str, g: Grammar):
-    ident, literal = g.tid("IDENT"), g.tid("LITERAL")
+    ident, literal, block = g.tid("IDENT"), g.tid("LITERAL"), g.tid("TEXTBLOCK")
     words = {w: g.tid(w) for w in _JAVA_WORDS} | {w: literal for w in ("true", "false", "null")} | {w: (ident, g.tid(w)) for w in _JAVA_SOFT}
     out, ops = [], {}
     for m in _JAVA.finditer(text):
@@ -43,7 +43,7 @@ def java(text: str, g: Grammar):
         elif k == 5:
             return None
         else:
-            out.append(literal)
+            out.append(block if m.group(k).startswith('"""') else literal)
     return out
 
 

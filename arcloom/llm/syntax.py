@@ -1,8 +1,9 @@
 """Problem 2: source files that no supported dialect of their language accepts.
 
 Every file is lexed and run through the generalised LL recogniser (``gll``) of the language its
-extension names, all dialects of the language together. Files that it rejects are then held against
-the exact parser where Python has one (Python, JSON, XML), which can only acquit. Work is one pass
+extension names, the grammars of all its dialects together in one stack; the dialects that accept
+it come out. Files that all of them reject are then held against the exact parser where Python has
+one (Python, JSON, XML), which can only acquit. Work is one pass
 over the files without a shuffle of their contents; the rates per repository and language combine on
 the map side.
 
@@ -22,7 +23,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from arcloom.llm import lexers
 from arcloom.llm.grammars import grammar
@@ -36,17 +37,20 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9_]+)$", 1))
 
 
-def rejected_at(language: str, code: str) -> int | None:
-    """None if some dialect accepts the text, else the token at which the last parse ended (-1: no token fits)."""
+def parsed(language: str, code: str) -> tuple[list[str], int]:
+    """The dialects that accept the text, and the token at which the longest parse ended (-1: no token fits)."""
     g = grammar(language)
     code = code[1:] if code.startswith("\ufeff") else code
     got = getattr(lexers, language)(code, g)
     if got is None:
-        return -1
-    if language == "js":
-        ok, at = g.accepts(got[0], got[1], g.tid("ASI"))
-    else:
-        ok, at = g.accepts(got)
+        return [], -1
+    ok, at = g.accepting(got[0], got[1], g.tid("ASI")) if language == "js" else g.accepting(got)
+    return [d for k, d in enumerate(g.dialects) if ok >> k & 1], at
+
+
+def rejected_at(language: str, code: str) -> int | None:
+    """None if some dialect accepts the text, else where the last parse ended."""
+    ok, at = parsed(language, code)
     return None if ok else at
 
 
@@ -65,7 +69,7 @@ def acquitted(language: str, code: str) -> bool:
         elif language == "json":
             loads(code, parse_constant=_no_constant)
         elif language == "xml":
-            expat.ParserCreate().Parse(code.encode("utf-8").replace(b'encoding="', b'x="', 0), True)
+            expat.ParserCreate("utf-8").Parse(code.encode("utf-8"), True)  # whatever encoding it declares: it is text here
         else:
             return False
         return True
@@ -73,23 +77,36 @@ def acquitted(language: str, code: str) -> bool:
         return False
 
 
-def is_broken(language: str, code: str | None) -> bool:
+#: The name of an exact parser's verdict among the dialects.
+EXACT = "exact parser"
+_VERDICT = StructType().add("broken", BooleanType()).add("accepted", ArrayType(StringType())).add("at", IntegerType())
+
+
+def verdict(language: str, code: str | None) -> tuple[bool, list[str], int]:
+    """(broken, dialects that accept it, where the longest parse ended)."""
     if code is None or language not in LANGUAGES:
-        return False
-    return rejected_at(language, code) is not None and not acquitted(language, code)
+        return False, [], 0
+    accepted, at = parsed(language, code)
+    if not accepted and acquitted(language, code):
+        accepted = [EXACT]
+    return not accepted, accepted, at
+
+
+def is_broken(language: str, code: str | None) -> bool:
+    return verdict(language, code)[0]
 
 
-@F.pandas_udf(BooleanType())
-def broken(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.pandas_udf(_VERDICT)
+def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for language, code in batches:
-        yield pd.Series([is_broken(a, b) for a, b in zip(language, code)])
+        yield pd.DataFrame([verdict(a, b) for a, b in zip(language, code)], columns=["broken", "accepted", "at"])
 
 
 def check_files(files: DataFrame) -> DataFrame:
-    """(file_id, repo, language, broken) of every file with code in a supported language."""
+    """(file_id, repo, language, broken, accepted, at) of every file with code in a supported language."""
     rows = files.select("file_id", "repo", extension(F.col("file_path")).alias("language"), "file_code")
     rows = rows.where(F.col("language").isin(*LANGUAGES) & F.col("file_code").isNotNull())
-    return rows.select("file_id", "repo", "language", broken("language", "file_code").alias("broken"))
+    return rows.select("file_id", "repo", "language", judged("language", "file_code").alias("v")).select("file_id", "repo", "language", "v.*")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +118,13 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if("broken").alias("broken"), F.round(F.count_if("broken") / F.count(F.lit(1)), 4).alias("rate"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates}
+def p2_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of a repository and language each dialect rejects; what only an exact parser accepts, all of them do."""
+    one = check_files(table(spark, sf_dir, "code_file")).dropDuplicates(["file_id"])
+    names = F.create_map(*[F.lit(x) for k in LANGUAGES for x in (k, F.array(*[F.lit(d) for d in grammar(k).dialects]))])
+    each = one.select("repo", "language", F.explode(names[F.col("language")]).alias("dialect"), "accepted")
+    return each.groupBy("repo", "language", "dialect").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.array_contains("accepted", F.col("dialect"))).alias("rejected"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_dialects": p2_dialects}
 ORACLE: dict[str, str] = {}

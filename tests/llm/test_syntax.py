@@ -4,6 +4,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arcloom.llm import syntax
 from arcloom.llm.gll import Grammar
@@ -103,3 +104,41 @@ def test_files(spark):
     got = {r["file_id"] for r in syntax.check_files(df).where("broken").select("file_id").distinct().collect()}
     assert got == {1, 6, 7, 10}
     assert syntax.check_files(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "lang, code, accepted",
+    [
+        ("java", "record P(int x) { }", ["Java 17"]),
+        ("java", "class A { void f(AutoCloseable c) throws Exception { try (c) { } } }", ["Java 11", "Java 17"]),
+        ("java", 'class A { String s = """\n  x\n  """; int f(Object o) { if (o instanceof String t) return switch (1) { case 1, 2 -> 3; default -> 4; }; return 0; } }', ["Java 17"]),
+        ("java", "class A { int f(Object o) { return o instanceof String ? 1 : 0; } }", ["Java 8", "Java 11", "Java 17"]),
+        ("java", "class A { int record = 1; int sealed, yield; }", ["Java 8", "Java 11", "Java 17"]),
+        ("java", "class A {", []),
+        ("js", "with (a) { b(); }", ["ES2017", "ES2018", "ES2020", "ES2022"]),
+        ("js", "with (a) { b ??= c?.d; }", ["ES2022"]),
+        ("js", "const {a, ...b} = c; try { f(); } catch { g(); }", ["ES2020", "ES2022", "ES2022 strict"]),
+        ("js", "class A { #x = 1; static { f(); } y; }", ["ES2022", "ES2022 strict"]),
+        ("py", "def f(a, /, b):\n    return (n := a)\n", ["3.8", "3.10", "3.12"]),
+        ("py", "type X[T] = list[T]\n", ["3.12"]),
+        ("py", "match x:\n    case 1:\n        pass\n", ["3.10", "3.12"]),
+        ("py", "match = type(x)\n", ["3.7", "3.8", "3.10", "3.12"]),
+        ("json", "[1]", ["RFC 8259"]),
+        ("xml", '<?xml version="1.0" encoding=\'latin-1\'?><a>é</a>', ["XML 1.0"]),
+    ],
+)
+def test_dialects_run_together(lang, code, accepted):
+    assert syntax.verdict(lang, code)[:2] == (not accepted, accepted)
+
+
+def test_a_parse_keeps_to_one_dialect():
+    # what one dialect has cannot be joined to what another has, however the stack is shared
+    g = Grammar("s = e e ; e = @a A | @b B | C ;", ("s",), (), ("a", "b"), {"a": ("a",), "b": ("b",)})
+    a, b, c = g.tid("A"), g.tid("B"), g.tid("C")
+    assert [g.accepting(t)[0] for t in ([a, a], [a, b], [c, b], [c, c], [(a, b), (a, b)], [(a, b), a])] == [1, 0, 2, 3, 3, 1]
+
+
+def test_dialect_rows(spark):
+    df = spark.createDataFrame([(1, 1, "a.java", "record P(int x) { }"), (1, 1, "a.java", "record P(int x) { }"), (2, 1, "b.Java", "class {"), (3, 1, "c.java", None), (4, 2, "d.txt", "x")], "file_id int, repo int, file_path string, file_code string").withColumn("language", F.lit(1)).withColumn("accepted", F.lit(1))
+    got = {(r["file_id"], r["broken"], tuple(r["accepted"])) for r in syntax.check_files(df).collect()}
+    assert got == {(1, False, ("Java 17",)), (2, True, ())}
