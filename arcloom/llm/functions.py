@@ -4,10 +4,12 @@ Code is lexed by one regular expression into rows (id, pos, token). Within a sou
 each row its depth in braces and parentheses; every ``;``, ``{`` and ``}`` outside parentheses ends
 an island (the running count of such ends before a row is the island's number), and an island that
 ends in ``{`` and has a name before its first parenthesis opens a function. Its body ends at the
-next brace of the same level. ``lag`` windows tell names from annotations and calls; the comments of
-an island before the name are the function's comment. All windows share one partitioning and
-order, and sources are partitioned by their id before they are exploded, so token rows are never
-shuffled. Everything runs inside the JVM.
+next brace of the same level; one that ends in ``;`` is a method without a body if the brace around
+it opens a type. ``lag`` windows tell names from annotations and calls, and a ``last`` window that
+looks from each comment to the next name of its island attaches it to the function. Python has
+islands of logical lines instead: ``lead`` finds a definition's docstring, and comments and
+decorators above it are its island. All windows share one partitioning, and sources are partitioned
+by their id before they are exploded, so token rows are never shuffled. Everything runs inside the JVM.
 
 Trivial documentation is: none, a placeholder, tags only, a separator, code, or words of the
 function's own name (articles and inflection aside). Terse remarks that add something are kept.
@@ -81,21 +83,21 @@ def functions_of(df: DataFrame, key: str, code: str) -> DataFrame:
     t = t.withColumn("named", F.col("named") & ~F.coalesce(F.col("prev2").isin("@", ".", "new"), F.lit(False)) & ~F.col("prev").isin(*_NOT_NAMES))
     level = F.when(tok == "}", F.col("level") - 1).otherwise(F.col("level"))
     same = Window.partitionBy("key", "lv").orderBy("pos")
-    isle = (
-        t.groupBy("key", "island")
-        .agg(
-            F.min(F.when(~F.col("comment"), F.col("pos"))).alias("first"),
-            F.max_by("tok", F.when(~F.col("comment"), F.col("pos"))).alias("last"),
-            F.max(F.when(F.col("ends"), F.col("pos"))).alias("opens"),
-            F.min(F.when(F.col("named"), F.struct("pos", F.col("prev").alias("name")))).alias("at"),
-            F.min(F.when((F.col("tok").isin("=", "->") | F.col("tok").isin("return", "throw", "new", "else", "case")) & (F.col("inside") <= 0), F.col("pos"))).alias("broken"),
-            F.count_if((F.col("inside") <= 0) & F.col("tok").rlike(r"^[A-Za-z_$]")).alias("words"),
-            F.min("level").alias("level"),
-            F.array_sort(F.collect_list(F.when(F.col("comment") & (F.col("inside") <= 0), F.struct("pos", "tok")))).alias("said"),
-        )
-        .where(F.col("at").isNotNull() & (F.col("broken").isNull() | (F.col("broken") > F.col("at.pos"))))
-        .where((F.col("last") == "{") | ((F.col("last") != "}") & (F.col("words") >= 2) & (F.col("level") <= 1)))
+    isle = t.groupBy("key", "island").agg(
+        F.min(F.when(~F.col("comment"), F.col("pos"))).alias("first"),
+        F.max_by("tok", F.when(~F.col("comment"), F.col("pos"))).alias("last"),
+        F.max(F.when(F.col("ends"), F.col("pos"))).alias("opens"),
+        F.min(F.when(F.col("named"), F.struct("pos", F.col("prev").alias("name")))).alias("at"),
+        F.min(F.when((F.col("tok").isin("=", "->") | F.col("tok").isin("return", "throw", "new", "else", "case")) & (F.col("inside") <= 0), F.col("pos"))).alias("broken"),
+        F.count_if((F.col("inside") <= 0) & F.col("tok").rlike(r"^[A-Za-z_$]")).alias("words"),
+        F.max((F.col("inside") <= 0) & F.col("tok").isin("class", "interface", "enum")).alias("type"),
+        F.min("level").alias("level"),
     )
+    # the brace around an island is the last one that opened its level
+    around = Window.partitionBy("key", F.col("level") + F.when(F.col("last") == "{", 1).otherwise(0)).orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    isle = isle.withColumn("in_type", (F.col("level") <= 0) | F.coalesce(F.last(F.when(F.col("last") == "{", F.col("type")), ignorenulls=True).over(around), F.lit(False)))
+    isle = isle.where(F.col("at").isNotNull() & (F.col("broken").isNull() | (F.col("broken") > F.col("at.pos"))))
+    isle = isle.where((F.col("last") == "{") | ((F.col("last") != "}") & (F.col("words") >= 2) & F.col("in_type")))
     closes = (
         t.where(F.col("tok").isin("{", "}"))
         .select("key", "pos", "tok", level.alias("lv"))
@@ -103,9 +105,62 @@ def functions_of(df: DataFrame, key: str, code: str) -> DataFrame:
         .where(F.col("tok") == "{")
         .select("key", F.col("pos").alias("opens"), "closes")
     )
-    out = isle.join(closes, ["key", "opens"], "left")
-    comments = F.transform(F.filter("said", lambda c: c["pos"] < F.col("at.pos")), lambda c: c["tok"])
-    return out.select("key", F.row_number().over(Window.partitionBy("key").orderBy("at.pos")).alias("n"), F.col("at.name").alias("name"), "level", "first", "opens", "closes", comments.alias("comments"))
+    out = isle.withColumn("head", F.col("at.pos")).join(closes, ["key", "opens"], "left").join(_attached(t.where(F.col("inside") <= 0), "island", "named"), ["key", "head"], "left")
+    return out.select("key", F.row_number().over(Window.partitionBy("key").orderBy("head")).alias("n"), F.col("at.name").alias("name"), "level", "first", "opens", "closes", _none_said("comments"))
+
+
+def _attached(rows: DataFrame, island: str, named: str) -> DataFrame:
+    """(key, head, comments): comments, each attached to the next name of its island."""
+    some = rows.where(F.col("comment") | F.col(named)).select("key", island, "pos", "tok", "comment", named)
+    on = Window.partitionBy("key", island).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    owned = some.withColumn("head", F.last(F.when(F.col(named), F.col("pos")), ignorenulls=True).over(on)).where(F.col("comment") & F.col("head").isNotNull())
+    return owned.groupBy("key", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda c: c["tok"]).alias("comments"))
+
+
+def _none_said(name: str) -> Column:
+    return F.coalesce(name, F.array().cast("array<string>")).alias(name)
+
+
+_PY_TOKEN = (
+    r'[rRbBuUfF]{0,2}(?:"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+(?:"""|\z)|"(?:[^"\\\n\r]++|\\[\s\S])*+"?)'
+    + r"|[rRbBuUfF]{0,2}(?:'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+(?:'''|\z)|'(?:[^'\\\n\r]++|\\[\s\S])*+'?)"
+    + r"|#[^\n\r]*+|\\(?:\r\n|\r|\n)|(?:\r\n|\r|\n)[ \t]*+|[A-Za-z_]\w*+|[()\[\]{}@:]"
+)
+
+
+def python_functions(df: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, n, name, level, comments): the functions of Python sources, ``level`` being the indentation; the docstring comes last."""
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{code}`").alias("code")).where(F.col("code").isNotNull())
+    # a line break before the text, so that every line has one
+    found = F.filter(F.regexp_extract_all(F.concat(F.lit("\n"), F.col("code")), F.lit(_PY_TOKEN), F.lit(0)), lambda t: ~t.startswith("\\"))
+    t = rows.repartition("key").select("key", F.posexplode(found).alias("pos", "tok"))
+    by = Window.partitionBy("key").orderBy("pos")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    tok = F.col("tok")
+    bracket = F.when(tok.isin("(", "[", "{"), 1).when(tok.isin(")", "]", "}"), -1).otherwise(0)
+    breaks = tok.rlike(r"^[\r\n]")
+    t = t.withColumn("open", breaks & (F.coalesce(F.sum(bracket).over(before), F.lit(0)) <= 0))
+    t = t.withColumn("line", F.sum(F.when(F.col("open"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    word = F.struct("pos", "tok")
+    lines = (
+        t.groupBy("key", "line")
+        .agg(F.max(F.when(F.col("open"), F.length(F.regexp_replace("tok", r"[\r\n]", "")))).alias("indent"), F.slice(F.array_sort(F.collect_list(F.when(~breaks, word))), 1, 3).alias("w"))
+        .where(F.size("w") > 0)
+        .select("key", F.col("line").alias("pos"), "indent", F.transform("w", lambda x: x["tok"]).alias("w"))
+    )
+    first = F.element_at("w", 1)
+    second, third = F.try_element_at("w", F.lit(2)), F.try_element_at("w", F.lit(3))
+    name = F.when(first == "def", second).when((first == "async") & (second == "def"), third)
+    lines = lines.select("key", "pos", "indent", first.alias("tok"), name.alias("name"), first.startswith("#").alias("comment"))
+    lines = lines.withColumn("defines", F.col("name").isNotNull())
+    at = Window.partitionBy("key").orderBy("pos")
+    # an island is a run of comments and decorators with the line after it; a docstring is the next line that says something
+    closed = F.when(F.col("comment") | (F.col("tok") == "@"), 0).otherwise(1)
+    lines = lines.withColumn("island", F.coalesce(F.sum(closed).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    stated = lines.where("not comment").withColumn("next", F.lead(F.struct("indent", "tok")).over(at)).where("defines")
+    doc = F.when((F.col("next.indent") > F.col("indent")) & F.col("next.tok").rlike(r"^[rRbBuUfF]{0,2}[\"']"), F.array("next.tok")).otherwise(F.array().cast("array<string>"))
+    out = stated.withColumn("head", F.col("pos")).join(_attached(lines, "island", "defines"), ["key", "head"], "left")
+    return out.select("key", F.row_number().over(Window.partitionBy("key").orderBy("head")).alias("n"), "name", F.col("indent").alias("level"), F.concat(_none_said("comments"), doc).alias("comments"))
 
 
 # -- documentation ----------------------------------------------------------------------------
@@ -118,6 +173,15 @@ def cleaned(comment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"[ \t]*(?:\r\n|\r|\n)[ \t]*", "\n"), r"^\s+|\s+$", "")
 
 
+def cleaned_python(comment: Column) -> Column:
+    """The text of a comment or docstring."""
+    quote = r"(?:\"\"\"|\'\'\'|[\"\'])"
+    x = F.regexp_replace(comment, rf"^[rRbBuUfF]{{0,2}}{quote}|(?<=.){quote}$", "\n")
+    x = F.regexp_replace(x, r"(?m)^[ \t]*#+[ \t]?", "")
+    x = F.regexp_replace(x, r"(?ms)^[ \t]*(?:@|:)[A-Za-z].*", "")
+    return F.regexp_replace(F.regexp_replace(x, r"[ \t]*(?:\r\n|\r|\n)[ \t]*", "\n"), r"^\s+|\s+$", "")
+
+
 def _stem(word: Column) -> Column:
     w = F.regexp_replace(word, r"ies$", "y")
     w = F.regexp_replace(w, r"(?<=..)(?:ing|ed|es|s|e)$", "")
@@ -163,11 +227,12 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_file_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of the Java and JavaScript files themselves: how many of them a comment documents."""
-    files = table(spark, sf_dir, "code_file").where(extension(F.col("file_path")).isin("java", "js")).dropDuplicates(["file_id"])
-    got = functions_of(files, "file_id", "file_code")
-    useful = F.exists(F.transform("comments", cleaned), lambda x: says_something(x, F.col("name")))
-    return got.where(F.col("closes").isNotNull()).groupBy(F.col("key").alias("file_id")).agg(F.count(F.lit(1)).alias("functions"), F.count_if(useful).alias("documented"))
+    """Functions of the Java, JavaScript and Python files themselves: how many of them a comment or docstring documents."""
+    files = table(spark, sf_dir, "code_file").withColumn("ext", extension(F.col("file_path"))).where(F.col("ext").isin("java", "js", "py")).dropDuplicates(["file_id"])
+    braced = functions_of(files.where("ext <> 'py'"), "file_id", "file_code").where("closes is not null").select("key", "name", F.transform("comments", cleaned).alias("said"))
+    python = python_functions(files.where("ext = 'py'"), "file_id", "file_code").select("key", "name", F.transform("comments", cleaned_python).alias("said"))
+    useful = F.exists("said", lambda x: says_something(x, F.col("name")))
+    return braced.unionByName(python).groupBy(F.col("key").alias("file_id")).agg(F.count(F.lit(1)).alias("functions"), F.count_if(useful).alias("documented"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_file_functions": p4_file_functions}

@@ -42,6 +42,22 @@ def test_functions_of_a_file(spark):
     assert got["go"]["closes"] > got["run"]["closes"] and got["none"]["closes"] is None
 
 
+def test_methods_without_a_body_in_nested_types(spark):
+    code = "interface A {\n  /** Stops it. */ void stop();\n  interface B {\n    /** Goes on. */\n    @X void go(int a);\n    class C { abstract int deep(); void run() { go(1); a.b(2); f(x).g(y); new D(1); } void last(); }\n    int end();\n  }\n}\n"
+    got = {r["name"]: r["comments"] for r in functions.functions_of(spark.createDataFrame([(1, code)], "k int, c string"), "k", "c").collect()}
+    assert got == {"stop": ["/** Stops it. */"], "go": ["/** Goes on. */"], "deep": [], "run": [], "last": [], "end": []}
+
+
+def test_python_functions(spark):
+    code = "# Module.\nimport os\n\n# Above it.\n@wraps(\n  f)\n# Between.\ndef one(a,\n   b=\"def x():\"):\n    # no\n    \'\'\'Says\n    one.\'\'\'\n    async def inner(): pass\n\nclass A:\n    def two(self): return 1\n    s = \"# no\"\n    def three(self):\n        return \"no\"\n"
+    df = spark.createDataFrame([(1, code), (2, None), (3, ""), (4, "def broken("), (5, code.replace("\n", "\r\n"))], "k int, c string")
+    got = {(r["key"], r["name"]): [x for x in r["comments"]] for r in functions.python_functions(df, "k", "c").collect()}
+    doc = "\'\'\'Says\n    one.\'\'\'"
+    assert got == {(k, n): [x.replace("\n", "\r\n") if k == 5 else x for x in c] for k in (1, 5) for n, c in (("one", ["# Above it.", "# Between.", doc]), ("inner", []), ("two", []), ("three", []))} | {(4, "broken"): []}
+    said = {r["t"] for r in spark.createDataFrame([(doc,), ("# Above it.",), ("r\"x\"",)], "c string").select(functions.cleaned_python(F.col("c")).alias("t")).collect()}
+    assert said == {"Says\none.", "Above it.", "x"}
+
+
 # -- splitting ---------------------------------------------------------------------------------
 SPEC = [("java", 400, 60), ("js", 100, 0)]
 
@@ -233,7 +249,7 @@ def test_long_headers_hide_neither_notices_nor_declarations():
     licence = "/*\n" + " * These terms say nothing of use to anybody.\n" * 80 + " */\n"
     at = [c.strip().split(" ")[0] for c in provenance._MEASURES.split(",")][2:]
     for code, notice in (("// auto-generated by a tool\nclass A { }\n", True), ('package a;\nimport b.C;\n@Generated("x")\npublic class A { }\n', True), ("class A { }\n// " + "x " * 400 + "\n// auto-generated by a tool\n", False)):
-        got = dict(zip(at, provenance.measure("a/A.java", licence + code, "java", {})))
+        got = dict(zip(at, provenance.measure("a/A.java", licence + code, "java")))
         assert got["declares"] and got["notice"] == notice
-    got = dict(zip(at, provenance.measure("a/A.java", licence.replace("nothing", "class") + "run(1);\n", "java", {})))
+    got = dict(zip(at, provenance.measure("a/A.java", licence.replace("nothing", "class") + "run(1);\n", "java")))
     assert not got["declares"]
