@@ -1,8 +1,7 @@
 """Problem 7: source files that nobody wrote by hand: generated, minified, vendored, or data.
 
-The judgement is by names. A character trigram model of identifiers is trained for each language on
-a bounded, documented sample (``sample`` files with the least hash of file_id), and every file is
-measured in one pass over its whole text:
+The judgement is by names. Every file is measured in one pass over its whole text; a character
+trigram model of identifiers is trained for each language on the names of all files:
 
 * mangled names: the cross-entropy of the file's distinct names (bits a character) far above the
   language's median over all files, with mostly one- and two-letter names: minified or bundled;
@@ -38,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.llm.extract import content_language, without_texts
+from arcloom.llm.sampling import gathered, sparse
 from arcloom.llm.syntax import extension
 from arcloom.tables import cut, table
 
-SAMPLE = 800
 SKETCH = 64
+#: Lines under more different file names than this belong to licences and idioms, not to one library.
+COMMON = 20
 PIECE = 5000
 MANGLED = 1.2
 #: Bits a letter, and times the typical file's, of a folder name that is foreign by itself, and with copied lines.
@@ -71,6 +72,7 @@ for _k, _c in enumerate(_ALPHABET):
 for _c in "123456789":
     _CODE[ord(_c)] = _ALPHABET.index("0")
 _N = len(_ALPHABET) + 1
+_SPARSE = "key string, at array<int>, n array<long>"
 
 
 def bare(code: str, ext: str) -> tuple[str, str]:
@@ -110,39 +112,19 @@ class Trigrams:
         return float(self.bits[c[:-2], c[1:-1], c[2:]].mean())
 
 
-def models_of(files: DataFrame, sample: int = SAMPLE) -> dict[str, Trigrams]:
-    """A model for each language, from the ``sample`` files with the least hash of their id."""
-    rows = files.where(F.col("file_code").isNotNull()).select("file_id", extension(F.col("file_path")).alias("ext"), "file_code")
-    per: dict[str, list[list[str]]] = {}
-    for r in rows.orderBy(F.xxhash64("file_id"), "file_id").limit(sample).collect():
-        lang, names = names_of(r["file_code"], r["ext"])
-        if names:
-            per.setdefault(lang, []).append(sorted(set(names)))
-    out = {}
-    for lang, lists in per.items():
-        for _ in range(2):  # the second time without the strangest sixth, which may be machine-made
-            counts = np.zeros((_N, _N, _N))
-            for names in lists:
-                Trigrams.counted(names, counts)
-            out[lang] = Trigrams(counts)
-            limit = np.quantile([out[lang].entropy(n) for n in lists], 0.84)
-            lists = [n for n in lists if out[lang].entropy(n) <= limit] or lists
-    return out
-
-
 def sketch_of(code: str) -> list[int]:
     """The least hashes of the distinct lines that say something."""
-    lines = {s for line in code.splitlines() if len(s := line.strip()) >= 25 and "project and follows its" not in s}
+    lines = {s for line in code.splitlines() if len(s := line.strip()) >= 25}
     return sorted(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63) for s in lines)[:SKETCH]
 
 
 _MEASURES = (
-    "file_id int, repo int, ext string, idents string, folder string, name string, lang string, same_kind boolean, entropy double, short double, numbered double, names int, "
+    "file_id int, repo int, ext string, idents string, folder string, name string, lang string, same_kind boolean, short double, numbered double, names int, "
     "literal double, notice boolean, declares boolean, tool_path boolean, third_path boolean, sketch array<long>"
 )
 
 
-def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams]) -> tuple:
+def measure(path: str | None, code: str, ext: str) -> tuple:
     lang, text = bare(code, ext)
     ids = _ID.findall(text)
     n = max(len(ids), 1)
@@ -155,17 +137,16 @@ def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams])
     whole = "/".join(p)
     return (
         ext,
-        " ".join(distinct) if ext in _PROGRAM else "",
+        " ".join(distinct) if ext in _PROGRAM or lang in _PROGRAM else "",
         folder,
         p[-1],
         lang,
         lang == ext or (lang in _PROGRAM and ext in _PROGRAM),
-        models[lang].entropy(distinct) if distinct and lang in models else None,
         sum(len(i) <= 2 for i in ids) / n,
         max(numbered, counters if len(distinct) > 12 else 0.0),
         len(distinct),
         literal,
-        bool(_NOTICE.search(_HEAD.match(code).group()) or _NOTICE.search(code[:700])),
+        bool(_NOTICE.search(_HEAD.match(code).group())),
         bool(_DECLARES.search(text)) and not _DUMP.match(code),
         bool(re.search(r"(?:^|/)(?:generated(?:-sources|-src)?|src-gen|gen-src|autogen)/", whole)),
         bool(re.search(r"^(?:vendor|third_party|third-party|thirdparty|external|libs)/|(?:^|/)(?:node_modules|bower_components)/", whole)),
@@ -173,14 +154,12 @@ def measure(path: str | None, code: str, ext: str, models: dict[str, Trigrams])
     )
 
 
-def measures(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    shared = files.sparkSession.sparkContext.broadcast(models_of(files, sample))
-
+def measures(files: DataFrame) -> DataFrame:
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.strip().split(" ")[0] for c in _MEASURES.split(",")]
         for b in batches:
-            out = [(i, repo, *measure(path, code, ext, shared.value)) for i, repo, path, ext, code in zip(b["file_id"], b["repo"], b["file_path"], b["ext"], b["file_code"])]
-            yield pd.DataFrame(out, columns=cols).astype({"repo": "Int32", "entropy": "float64"})
+            out = [(i, repo, *measure(path, code, ext)) for i, repo, path, ext, code in zip(b["file_id"], b["repo"], b["file_path"], b["ext"], b["file_code"])]
+            yield pd.DataFrame(out, columns=cols).astype({"repo": "Int32"})
 
     rows = files.where(F.col("file_code").isNotNull()).select("file_id", "repo", "file_path", F.coalesce(extension(F.col("file_path")), F.lit("")).alias("ext"), "file_code")
     return rows.mapInPandas(one, _MEASURES)
@@ -192,26 +171,65 @@ def _grams(names: list[str]) -> np.ndarray:
 
 
 def _added(rows: DataFrame) -> DataFrame:
-    """(key, grams, n): sparse counts added up by key, one key at a time in sorted partitions."""
+    """(key, at, n): sparse counts added up by key, one key at a time in sorted partitions."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, total = None, np.zeros(_N**3, np.int64)
         for b in batches:
-            for k, g, n in zip(b["key"], b["grams"], b["n"]):
+            for k, g, n in zip(b["key"], b["at"], b["n"]):
                 if k != key:
                     if key is not None:
-                        yield _sparse({key: total})
+                        yield from sparse({key: total})
                     key, total = k, np.zeros(_N**3, np.int64)
                 total[np.asarray(g, np.int64)] += np.asarray(n, np.int64)
         if key is not None:
-            yield _sparse({key: total})
+            yield from sparse({key: total})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(one, _SPARSE)
+
+
+def _dense(at, n) -> np.ndarray:
+    c = np.zeros(_N**3, np.int64)
+    c[np.asarray(at, np.int64)] = np.asarray(n, np.int64)
+    return c
+
+
+def _models(counts: DataFrame) -> dict[str, Trigrams]:
+    """The models of the languages, from their counts (a row a language)."""
+    return {k: Trigrams(_dense(at, n).reshape(_N, _N, _N)) for k, at, n in gathered(counts)}
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(one, "key string, grams array<int>, n array<long>")
 
+def name_entropies(m: DataFrame) -> DataFrame:
+    """(file_id, entropy): bits a character of each program's distinct names, by a model of the names of all files of its language.
 
-def _sparse(counts: dict[str, np.ndarray]) -> pd.DataFrame:
-    at = {k: np.flatnonzero(c) for k, c in counts.items()}
-    return pd.DataFrame({"key": list(at), "grams": [a.astype(np.int32) for a in at.values()], "n": [counts[k][a] for k, a in at.items()]})
+    The names of all files are counted, and a second time without those of the strangest sixth of the
+    first model, which may be machine-made.
+    """
+    named = m.where(F.col("lang").isin(*_PROGRAM) & (F.col("idents") != "")).select("file_id", "lang", "idents")
+    sc = m.sparkSession.sparkContext
+
+    def counted(models, limits) -> DataFrame:
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: dict[str, np.ndarray] = {}
+            for b in batches:
+                for lang, idents in zip(b["lang"], b["idents"]):
+                    names = idents.split(" ")
+                    if models is None or models.value[lang].entropy(names) <= limits[lang]:
+                        np.add.at(counts.setdefault(lang, np.zeros(_N**3, np.int64)), _grams(names), 1)
+            yield from sparse(counts)
+
+        return _added(named.select("lang", "idents").mapInPandas(one, _SPARSE))
+
+    def entropies(models) -> DataFrame:
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"file_id": b["file_id"], "lang": b["lang"], "entropy": [models.value[k].entropy(i.split(" ")) for k, i in zip(b["lang"], b["idents"])]}).astype({"entropy": "float64"})
+
+        return named.mapInPandas(one, "file_id int, lang string, entropy double")
+
+    first = sc.broadcast(_models(counted(None, None)))
+    limits = {r["lang"]: r["limit"] for r in entropies(first).groupBy("lang").agg(F.percentile_approx("entropy", 0.84).alias("limit")).collect()}  # a row a language
+    return entropies(sc.broadcast(_models(counted(first, limits)))).select("file_id", "entropy")
 
 
 class _Counts:
@@ -227,7 +245,7 @@ class _Counts:
 
 
 def name_counts(m: DataFrame) -> DataFrame:
-    """(key, grams, n): trigrams of the names of each repository (r), of each language's identifiers (i) and folders (f)."""
+    """(key, at, n): trigrams of the names of each repository (r), of each language's identifiers (i) and folders (f)."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
@@ -239,12 +257,11 @@ def name_counts(m: DataFrame) -> DataFrame:
                         counts[key] = np.zeros(_N**3, np.int64)
                     np.add.at(counts[key], grams, 1)
             if len(counts) > 200:
-                yield _sparse(counts)
+                yield from sparse(counts)
                 counts = {}
-        if counts:
-            yield _sparse(counts)
+        yield from sparse(counts)
 
-    return _added(m.select("repo", "ext", "idents", "folder").mapInPandas(one, "key string, grams array<int>, n array<long>"))
+    return _added(m.select("repo", "ext", "idents", "folder").mapInPandas(one, _SPARSE))
 
 
 def styles(m: DataFrame) -> DataFrame:
@@ -253,13 +270,8 @@ def styles(m: DataFrame) -> DataFrame:
     named = m.where(F.col("ext").isin(*_PROGRAM) & F.col("repo").isNotNull())
     counts = cut(name_counts(named))
 
-    def dense(grams: list[int], n: list[int]) -> np.ndarray:
-        c = np.zeros(_N**3, np.int64)
-        c[np.asarray(grams, np.int64)] = np.asarray(n, np.int64)
-        return c
-
     # a row a language and kind
-    of_lang = {r["key"]: dense(r["grams"], r["n"]) for r in counts.where("key not like 'r%'").collect()}
+    of_lang = {k: _dense(at, n) for k, at, n in gathered(counts.where("key not like 'r%'"))}
     shared = m.sparkSession.sparkContext.broadcast(of_lang)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,9 +284,9 @@ def styles(m: DataFrame) -> DataFrame:
         repo = None
         for b in batches:
             out = []
-            for i, ext, idents, folder, grams, n in zip(b["file_id"], b["ext"], b["idents"], b["folder"], b["grams"], b["n"]):
-                if grams is not None:
-                    repo = _Counts(dense(grams, n))
+            for i, ext, idents, folder, at, n in zip(b["file_id"], b["ext"], b["idents"], b["folder"], b["at"], b["n"]):
+                if at is not None:
+                    repo = _Counts(_dense(at, n))
                     continue
                 own_i = _grams(idents.split()) if idents else np.zeros(0, np.int64)
                 own_f = _grams(folder.split("/"))
@@ -295,10 +307,16 @@ def styles(m: DataFrame) -> DataFrame:
     files = files.select(F.concat(F.lit("r"), "repo").alias("key"), F.pmod(F.xxhash64("file_id"), "pieces").cast("int").alias("piece"), "file_id", "ext", "idents", "folder")
     repos = counts.join(pieces.select(F.concat(F.lit("r"), "repo").alias("key"), "pieces"), "key").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     both = repos.unionByName(files, allowMissingColumns=True).repartition("key", "piece").sortWithinPartitions("key", "piece", F.col("file_id").asc_nulls_first())
-    return both.select("file_id", "ext", "idents", "folder", "grams", "n").mapInPandas(one, "file_id int, style double")
+    return both.select("file_id", "ext", "idents", "folder", "at", "n").mapInPandas(one, "file_id int, style double")
+
+
+def common(m: DataFrame) -> DataFrame:
+    """(h): lines under so many file names that they say nothing about where a file comes from."""
+    lines = m.select("name", F.explode("sketch").alias("h"))
+    return lines.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("names")).where(F.col("names") > COMMON).select("h")
 
 
-def strange(m: DataFrame) -> DataFrame:
+def strange(m: DataFrame, common: DataFrame) -> DataFrame:
     """(file_id): files in folders with foreign names, by these alone or with lines of other repositories beside them."""
     s = cut(styles(m))
     typical = s.join(m.select("file_id", "ext"), "file_id").groupBy("ext").agg(F.percentile_approx("style", 0.5).alias("typical"))
@@ -307,13 +325,13 @@ def strange(m: DataFrame) -> DataFrame:
     def above(bits: float, times: float):
         return (F.col("style") >= bits) & (F.col("style") >= times * F.col("typical"))
 
-    near = known.where(above(*BESIDE) & ~above(*STRANGE)).select("file_id", F.explode("sketch").alias("h"))
+    near = known.where(above(*BESIDE) & ~above(*STRANGE)).select("file_id", F.explode("sketch").alias("h")).join(common, "h", "left_anti")
     lines = m.select("repo", F.explode("sketch").alias("h")).groupBy("h").agg((F.min("repo") < F.max("repo")).alias("copied"))
     overlap = near.join(lines, "h").groupBy("file_id").agg(F.avg(F.col("copied").cast("double")).alias("overlap"))
     return known.where(above(*STRANGE)).select("file_id").unionByName(overlap.where("overlap >= 0.7").select("file_id")).distinct()
 
 
-def foreign(m: DataFrame) -> DataFrame:
+def foreign(m: DataFrame, common: DataFrame) -> DataFrame:
     """(file_id): files whose folder and name are the same in other repositories, and whose lines are, too."""
     named = m.where(F.col("folder") != "").select("file_id", "repo", "folder", "name", "sketch")
     pairs = named.select("folder", "name", "repo").distinct()
@@ -321,18 +339,20 @@ def foreign(m: DataFrame) -> DataFrame:
     repos = pairs.select("folder", "repo").distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("repos"))
     style = names.join(repos, "folder").where("repos >= 2").where(F.col("pairs") / (F.col("n") * F.col("repos")) >= 0.15)
     cand = named.join(style.select("folder"), "folder")
-    lines = cand.select("file_id", "repo", "folder", "name", F.explode("sketch").alias("h"))
-    known = lines.select("folder", "name", "h", "repo").distinct().groupBy("folder", "name", "h").agg((F.count(F.lit(1)) > 1).alias("copied"))
+    lines = cand.select("file_id", "repo", "folder", "name", F.explode("sketch").alias("h")).join(common, "h", "left_anti")
+    known = lines.groupBy("folder", "name", "h").agg((F.min("repo") < F.max("repo")).alias("copied"))
     overlap = lines.join(known, ["folder", "name", "h"]).groupBy("file_id").agg(F.avg(F.col("copied").cast("double")).alias("overlap"))
     return overlap.where("overlap >= 0.7").select("file_id")
 
 
-def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def judged(files: DataFrame) -> DataFrame:
     """(file_id, repo, kind): each file that is not hand-written, with what it is."""
-    m = cut(measures(files, sample).dropDuplicates(["file_id"]))
+    m = cut(measures(files).dropDuplicates(["file_id"]))
+    m = m.join(cut(name_entropies(m)), "file_id", "left")
+    plain = cut(common(m))
     typical = m.where("entropy is not null").groupBy("lang").agg(F.percentile_approx("entropy", 0.5).alias("typical"))
-    far = foreign(m).withColumn("foreign", F.lit(True))
-    odd = strange(m).withColumn("strange", F.lit(True))
+    far = foreign(m, plain).withColumn("foreign", F.lit(True))
+    odd = strange(m, plain).withColumn("strange", F.lit(True))
     both = m.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left").join(odd, "file_id", "left")
     program = F.col("lang").isin(*_PROGRAM)
     kind = (
