@@ -53,13 +53,12 @@ def token_counts(folder: str, name: str):
 
 
 def sized_texts(docs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(source, doc_id, tokens): each text of a listed source once."""
+    """(source, doc_id, tokens): each text once, for the listed source that has it first."""
     listed = targets.select(F.lower(F.trim("source")).alias("source")).distinct()
-    rows = docs.where(F.col("source").isNotNull() & (F.col("text") != "")).select(F.lower(F.trim("source")).alias("source"), "doc_id", "text")
+    rows = docs.where(F.col("source").isNotNull() & (F.col("text") != "")).select(F.lower(F.trim("source")).alias("source"), "doc_id", "text").join(F.broadcast(listed), "source")
     digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")), F.length("text"))
     first = rows.select("source", "doc_id", digest.alias("d")).groupBy("d").agg(F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("doc_id"))
-    kept = first.join(F.broadcast(listed), "source").select("source", "doc_id")
-    return rows.select("doc_id", "text").join(kept, "doc_id").select("source", "doc_id", token_counts(folder, name)("text").alias("tokens")).where("tokens > 0")
+    return rows.select("doc_id", "text").join(first.select("source", "doc_id"), "doc_id").select("source", "doc_id", token_counts(folder, name)("text").alias("tokens")).where("tokens > 0")
 
 
 def pivot(rows: list[tuple[int, float, float]], seed: int, level: int) -> tuple[list[tuple[int, int]], tuple[int, float, float] | None]:

@@ -174,6 +174,13 @@ def test_pivot_keeps_tokens_and_rounds():
     assert 500 < up < 700
 
 
+def test_a_text_of_an_unlisted_source_counts_for_the_listed_one_that_has_it_too(spark):
+    docs = spark.createDataFrame([(1, "shared words", "other"), (2, "shared words", "a"), (3, "more words here", "b")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    got = {(r["source"], r["doc_id"]) for r in mixing.sized_texts(docs, targets).collect()}
+    assert got == {("a", 2), ("b", 3)}
+
+
 def test_mix(spark):
     rnd = random.Random(6)
     docs = [(i, f"text {i} " + "word " * rnd.randrange(1, 60), rnd.choice(["A", "a", "b", " B", "c"])) for i in range(600)]
