@@ -2,23 +2,26 @@
 
 A value's last sentence is held against all sentences of the same field: a cut sentence is a strict
 prefix of longer copies elsewhere. Names inside the sentences are masked, and prefixes are hashed,
-so that copies are found although every copy names other things; prefixes of decreasing length (the
-whole sentence up to here, the same without its last words, then its first words with its last
-ones, then only its last words) are tried in that order, and the first that other values attest
-often enough decides:
+so that copies are found although every copy names other things. Prefixes of the whole sentence up to
+here come first, then the same without its last words (signal ``prefix``). Where too few other
+values have them, the prefix is thinned out: its first words with its last ones (``parts``), at last
+only its last words (``suffix``), which tells whether sentences end so, and is kept apart as a
+signal of its own. The first of these that other values attest often enough decides:
 
 * how often it ends a sentence (``ends``) and how often a sentence goes on after it (``goes_on``);
   for a prefix without the last words: how often the sentence ends within a few words, or goes on
   beyond them. Where hardly any sentence ends, the value was cut;
-* a final word that occurs nowhere as a whole word and is a strict prefix of one that does
-  (sorted within hashed prefixes of up to three characters, compared with its successor) was cut
-  inside the word;
+* a final word that occurs nowhere as a whole word and is a strict prefix of one that does was cut
+  inside the word (``word``): whole words are taken apart into their prefixes of up to ``LONGEST``
+  characters, which are joined with the words in question; longer ones are sorted within prefixes
+  of that length and compared with their successors;
 * what was appended at the cut (dots, a replacement character) is taken off first. A replacement
   character always means a cut, dots do where ends with that prefix rarely carry them.
 
-Scale: sentences are deduplicated by their masked form before prefixes are built, every count is
-combined on the map side, and prefix tables are joined only with the masked last sentences, so no
-step gathers a hot value in one task. No global sort.
+Scale: texts are taken apart once; sentences are deduplicated by their masked form before prefixes
+are built, only prefixes that some open end asks for are counted (the keys that are asked for are
+broadcast up to ``FEW`` of them, beyond that they are joined), and every count is combined on the
+map side, so no step gathers a hot value in one task. No global sort.
 
 Defined results: null and blank values are never cases; a value that ends in a full stop is
 complete; a value nothing else attests is complete; exact copies count once as evidence and are
@@ -38,6 +41,10 @@ from arcloom.tables import cut, table
 RATIO = 0.15
 #: Other values that must attest a prefix, by level (see ``_prefixes``).
 SUPPORT = (5, 5, 6, 6, 6, 6, 8, 8, 10, 12)
+SIGNAL = ("prefix", "prefix", "parts", "parts", "suffix", "suffix", "suffix", "suffix", "suffix", "suffix")
+#: Keys (a long each) that are broadcast.
+FEW = 2_000_000
+LONGEST = 32
 
 _HAN = r"぀-ヿ㐀-鿿"
 _TOKEN = r"[A-Za-z0-9_]+(?:['’-][A-Za-z0-9_]+)*|[^\sA-Za-z0-9_]"
@@ -98,84 +105,101 @@ def _levels(keys: dict[int, list[Column]]) -> Column:
 
 
 def sentences_of(values: DataFrame) -> DataFrame:
-    """Adds the mark taken off, and the sentences as structs (toks, raw last word, stopped)."""
+    """Adds the mark taken off, and the sentences as structs (raw tokens, stopped)."""
     core = values.withColumn("mark", F.regexp_extract(F.rtrim("value"), _MARK, 0)).withColumn("core", F.rtrim(F.regexp_replace(F.rtrim("value"), _MARK, "")))
     split = core.withColumn("parts", F.filter(F.split("core", _SPLIT), lambda s: F.trim(s) != ""))
-
-    # two transforms, so that the tokens of a sentence are taken once; nothing in a lambda looks at the whole array
     taken = F.transform("parts", lambda s: F.struct(F.regexp_extract_all(F.regexp_replace(s, _STOP, ""), F.lit(_TOKEN), F.lit(0)).alias("r"), s.rlike(_STOP).alias("stopped")))
-    return split.withColumn("sents", F.transform(taken, lambda x: F.struct(_masked(x["r"]).alias("toks"), F.try_element_at(x["r"], F.lit(-1)).alias("raw"), x["stopped"].alias("stopped")))).drop("core", "parts")
+    return split.withColumn("sents", taken).drop("core", "parts")
 
 
 def find_truncated(values: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(table_name, row_id, field_name, loader, length, cut) of ``values`` (table_name, row_id, field_name, loader, value)."""
-    whole = sentences_of(values.where(F.trim("value") != "")).withColumn("end", F.try_element_at("sents", F.lit(-1)))
+    """(table_name, row_id, field_name, loader, length, cut, signal, longer, copy_id) of ``values`` (table_name, row_id,
+    field_name, loader, value): whether the value was cut, what tells so, how many values go on after the
+    same prefix, and the least row id of one of them (of signals ``prefix``, ``parts`` and ``suffix``)."""
     field = ["table_name", "field_name"]
     mark = F.when(F.col("mark").contains("�"), 2).when(F.col("mark") != "", 1).otherwise(0)
-    whole = whole.withColumn("mark", mark)
-    last_word = F.when(~F.col("end.stopped") & F.col("end.raw").rlike(_WORD), F.col("end.raw"))
-    rows = cut(
-        whole.select(
-            *field, "row_id", "loader", F.length("value").alias("length"), "mark", F.xxhash64("end.toks", "end.raw").alias("end_key"), last_word.alias("last_word"), F.coalesce("end.stopped", F.lit(True)).alias("stopped")
-        )
-    )
+    taken = sentences_of(values.where(F.trim("value") != "")).withColumn("mark", mark)
+    whole = cut(taken.select(*field, "row_id", "loader", F.length("value").alias("length"), F.md5("value").alias("text"), "mark", "sents"))
+    end = F.try_element_at("sents", F.lit(-1))
+    raw = F.try_element_at(end["r"], F.lit(-1))
+    stopped = F.coalesce(end["stopped"], F.lit(True))
+    rows = whole.select(*field, "row_id", "loader", "length", "mark", F.xxhash64(_masked(end["r"]), raw).alias("end_key"), F.when(~stopped & raw.rlike(_WORD), raw).alias("last_word"), stopped.alias("stopped"))
 
     # one row for each masked sentence, with the number of different values that have it
-    distinct = whole.select(*field, "value", "mark", "sents").dropDuplicates([*field, "value"])
+    distinct = cut(whole.groupBy(*field, "text").agg(F.min(F.struct("row_id", "mark", "sents")).alias("v")).select(*field, "v.*", F.size("v.sents").alias("ns")))
     said = cut(
-        distinct.select(*field, "mark", F.size("sents").alias("ns"), F.posexplode("sents").alias("at", "s"))
+        # the number of sentences is a column already: computed here, it would carry all of them into each row
+        distinct.select(*field, "row_id", "mark", "ns", F.posexplode("sents").alias("at", "s"))
         .withColumn("last", F.col("at") == F.col("ns") - 1)
-        .select(*field, "s.toks", "s.raw", (F.col("last") & ~F.col("s.stopped")).alias("open"), F.when(F.col("last"), F.col("mark")).otherwise(0).alias("mark"))
+        .select(*field, "row_id", _masked(F.col("s.r")).alias("toks"), F.try_element_at("s.r", F.lit(-1)).alias("raw"), (F.col("last") & ~F.col("s.stopped")).alias("open"), F.when(F.col("last"), F.col("mark")).otherwise(0).alias("mark"))
         .where(F.size("toks") > 0)
         .groupBy(*field, "toks", "raw", "open", "mark")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
     )
     size = F.size("toks")
     han = F.col("raw").rlike(f"[{_HAN}]") | F.exists("toks", lambda t: t.rlike(f"[{_HAN}]"))
-    at = said.withColumn("han", han).select(*field, "toks", "mark", "n", "han", F.explode(F.sequence(F.lit(1), size)).alias("j"))
-    left = size - F.col("j")
-    here = at.select(*field, "n", "mark", (F.col("j") == size).alias("ends"), F.explode(_prefixes(F.col("toks"), F.col("j"), F.col("han"))).alias("p"))
-    near = at.select(*field, "n", "mark", (left <= F.when(F.col("han"), 6).otherwise(2)).alias("ends"), F.explode(_open_prefixes(F.col("toks"), F.col("j"), F.col("han"))).alias("p"))
-    place = at.select(*field, "n", "mark", (left <= F.when(F.col("han"), 6).otherwise(3)).alias("ends"), F.explode(_place(F.col("toks"), F.col("j"))).alias("p"))
-    seen = (
-        here.unionByName(near)
-        .unionByName(place)
-        .groupBy(*field, "p.level", "p.key")
-        .agg(
-            F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("ends"),
-            F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("goes_on"),
-            F.sum(F.when(F.col("ends") & (F.col("mark") > 0), F.col("n")).otherwise(0)).alias("marked"),
-        )
-    )
+    at_field = F.xxhash64(*field)
+
+    def of_field(p: Column) -> Column:
+        return F.xxhash64(at_field, p["key"])
+
     open_ends = said.where(F.col("open") | (F.col("mark") > 0)).withColumn("han", han).withColumn("end_key", F.xxhash64("toks", "raw"))
     back = size - F.when(F.col("han"), 4).otherwise(2)
     asks = F.concat(_prefixes(F.col("toks"), size, F.col("han")), _place(F.col("toks"), size), F.when(back > 0, _open_prefixes(F.col("toks"), F.greatest(back, F.lit(1)), F.col("han"))).otherwise(F.array()))
-    tries = open_ends.select(*field, "end_key", "mark", F.explode(asks).alias("p")).select(*field, "end_key", "mark", "p.level", "p.key")
+    tries = cut(open_ends.select(*field, "end_key", "mark", F.explode(asks).alias("p")).select(*field, "end_key", "mark", "p.level", of_field(F.col("p")).alias("key")))
+    keys = tries.select("key").distinct()
+    if tries.count() <= FEW:
+        keys = F.broadcast(keys)
+
+    at = said.withColumn("han", han).select(*field, "toks", "mark", "n", "row_id", "han", F.explode(F.sequence(F.lit(1), size)).alias("j"))
+    left = size - F.col("j")
+    near = F.when(F.col("han"), 6)
+    ends = F.create_map(*[x for k, e in enumerate((left == 0, left <= near.otherwise(2), left <= near.otherwise(3))) for x in (F.lit(k), e)])
+    kind = F.when(F.col("p.level").isin(2, 6, 7), 1).when(F.col("p.level") == 4, 2).otherwise(0)
+    every = F.concat(_prefixes(F.col("toks"), F.col("j"), F.col("han")), _open_prefixes(F.col("toks"), F.col("j"), F.col("han")), _place(F.col("toks"), F.col("j")))
+    asked = at.select("n", "row_id", "mark", ends.alias("e"), at_field.alias("__f"), F.explode(every).alias("p"))
+    asked = asked.select("n", "row_id", "mark", F.col("e")[kind].alias("ends"), F.xxhash64("__f", "p.key").alias("key")).join(keys, "key", "left_semi")
+    seen = asked.groupBy("key").agg(
+        F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("ends"),
+        F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("goes_on"),
+        F.sum(F.when(F.col("ends") & (F.col("mark") > 0), F.col("n")).otherwise(0)).alias("marked"),
+        F.min(F.when(~F.col("ends"), F.col("row_id"))).alias("copy_id"),
+    )
     others = F.col("ends") + F.col("goes_on") - 1
     enough = reduce(lambda c, x: c.when(F.col("level") == x[0], others >= x[1]), enumerate(SUPPORT, 1), F.when(F.lit(False), F.lit(False)))
     judged = (
-        tries.join(seen, [*field, "level", "key"])
+        tries.join(seen, "key")
         .where(enough & ((F.col("level") != 4) | (F.col("ends") >= 0.9 * (F.col("ends") + F.col("goes_on")))))
         .groupBy(*field, "end_key", "mark")
-        .agg(F.min_by(F.struct("ends", "goes_on", "marked"), "level").alias("e"))
+        .agg(F.min_by(F.struct("level", "ends", "goes_on", "marked", "copy_id"), "level").alias("e"))
         .select(
             *field,
             "end_key",
             "mark",
+            F.element_at(F.array(*[F.lit(x) for x in SIGNAL]), F.col("e.level")).alias("how"),
+            F.col("e.goes_on").alias("longer"),
+            F.col("e.copy_id").alias("copy_id"),
             (F.col("e.ends") / (F.col("e.ends") + F.col("e.goes_on") + 1) < ratio).alias("inside"),
             ((F.col("mark") == 1) & (F.col("e.marked") < 0.5 * F.col("e.ends"))).alias("odd_mark"),
         )
     )
-    rows = _with_words(rows, distinct, judged, field)
-    stopped = F.col("stopped")
-    lost = (F.col("mark") == 2) | F.coalesce("odd_mark", F.lit(False)) & ~stopped | (~stopped & (F.coalesce("inside", F.lit(False)) | F.coalesce("part", F.lit(False))))
-    return rows.select("table_name", "row_id", "field_name", "loader", "length", F.coalesce(lost, F.lit(False)).alias("cut"))
+    got = rows.join(judged, [*field, "end_key", "mark"], "left").join(_cut_words(rows, distinct, field), [*field, "last_word"], "left")
+    within = F.coalesce("inside", F.lit(False)) & ~F.col("stopped")
+    signal = (
+        F.when(within & (F.col("how") != "suffix"), F.col("how"))
+        .when((F.col("mark") == 2) | (F.coalesce("odd_mark", F.lit(False)) & ~F.col("stopped")), "mark")
+        .when(~F.col("stopped") & F.coalesce("part", F.lit(False)), "word")
+        .when(within, "suffix")
+    )
+    out = got.withColumn("signal", signal)
+    joined = F.col("signal").isin("prefix", "parts", "suffix")
+    return out.select("table_name", "row_id", "field_name", "loader", "length", F.col("signal").isNotNull().alias("cut"), "signal", F.when(joined, F.col("longer")).alias("longer"), F.when(joined, F.col("copy_id")).alias("copy_id"))
 
 
-def _with_words(rows: DataFrame, distinct: DataFrame, judged: DataFrame, field: list[str]) -> DataFrame:
-    """Joins the verdict of the prefixes and ``part``: the last word is only the beginning of one."""
+def _cut_words(rows: DataFrame, distinct: DataFrame, field: list[str]) -> DataFrame:
+    """(field, last_word, part): last words that are only the beginning of a word."""
     # every word that is not the last of an open end is whole
-    tokens = F.regexp_extract_all(F.regexp_replace(F.rtrim("value"), _MARK, ""), F.lit(_TOKEN), F.lit(0))
+    tokens = F.flatten(F.transform("sents", lambda s: s["r"]))
     closed = F.element_at("sents", -1)["stopped"] & (F.col("mark") == 0)
     whole = (
         distinct.where(F.size("sents") > 0)
@@ -184,24 +208,20 @@ def _with_words(rows: DataFrame, distinct: DataFrame, judged: DataFrame, field:
         .where(F.col("w").rlike(_WORD))
         .distinct()
     )
+    whole = cut(whole)
     asked = rows.where(F.col("last_word").isNotNull()).select(*field, F.col("last_word").alias("w")).distinct()
     keys = whole.select(*field, _key(F.col("w")).alias("k")).distinct()
-    unknown = asked.withColumn("k", _key(F.col("w"))).join(keys, [*field, "k"], "left_anti").select(*field, "w", F.lit(True).alias("asked"))
+    unknown = cut(asked.withColumn("k", _key(F.col("w"))).join(keys, [*field, "k"], "left_anti").select(*field, "w"))
     # a compound name's parts and the name itself are what a cut word may have been
-    longer = whole.select(*field, "w").unionByName(whole.where(F.col("w").rlike(_CAMEL)).select(*field, F.regexp_extract("w", r"([A-Z][a-z0-9]*)$", 1).alias("w")))
-    parts = []
-    for n in (1, 2, 3):
-        size = F.length("w") == n if n < 3 else F.length("w") >= n
-        some = unknown.where(size).withColumn("p", F.substring("w", 1, n))
-        pool = longer.where(F.length("w") > n).withColumn("p", F.substring("w", 1, n))
-        if n < 3:
-            parts.append(some.join(pool.select(*field, "p").distinct(), [*field, "p"], "left_semi").select(*field, "w"))
-        else:
-            both = some.select(*field, "p", "w", "asked").unionByName(pool.select(*field, "p", "w", F.lit(False).alias("asked"))).groupBy(*field, "p", "w").agg(F.bool_or("asked").alias("asked"))
-            after = F.lead("w").over(Window.partitionBy(*field, "p").orderBy("w"))
-            parts.append(both.withColumn("after", after).where(F.col("asked") & F.col("after").startswith(F.col("w"))).select(*field, "w"))
-    part = reduce(DataFrame.unionByName, parts).select(*field, F.col("w").alias("last_word"), F.lit(True).alias("part"))
-    return rows.join(judged, [*field, "end_key", "mark"], "left").join(part, [*field, "last_word"], "left")
+    longer = whole.select(*field, "w").unionByName(whole.where(F.col("w").rlike(_CAMEL)).select(*field, F.regexp_extract("w", r"([A-Z][a-z0-9]*)$", 1).alias("w"))).where(F.length("w") > 1)
+    sizes = F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(LONGEST)))
+    begins = longer.select(*field, F.explode(F.transform(sizes, lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w")).distinct()
+    parts = unknown.where(F.length("w") <= LONGEST).join(begins, [*field, "w"], "left_semi")
+    pool = unknown.select(*field, "w", F.lit(True).alias("asked")).unionByName(longer.select(*field, "w", F.lit(False).alias("asked"))).where(F.length("w") > LONGEST).withColumn("p", F.substring("w", 1, LONGEST))
+    one = pool.groupBy(*field, "p", "w").agg(F.bool_or("asked").alias("asked"))
+    after = F.lead("w").over(Window.partitionBy(*field, "p").orderBy("w"))
+    far = one.withColumn("after", after).where(F.col("asked") & F.col("after").startswith(F.col("w"))).select(*field, "w")
+    return parts.select(*field, "w").unionByName(far).select(*field, F.col("w").alias("last_word"), F.lit(True).alias("part"))
 
 
 def project_fields(features: DataFrame, modules: DataFrame) -> DataFrame:
@@ -231,5 +251,10 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates}
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every damaged field what tells so, how many values go on after the same prefix, and one of them."""
+    return _found(spark, sf_dir).where("cut").select("table_name", "row_id", "field_name", "signal", "longer", "copy_id").dropDuplicates(["table_name", "row_id", "field_name"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_evidence": p1_evidence}
 ORACLE: dict[str, str] = {}

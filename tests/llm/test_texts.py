@@ -121,3 +121,20 @@ def test_truncation_of_a_very_long_value(spark):
     long = "Every entry is written down at once. " * 4000
     df = spark.createDataFrame([("t", i, "f", "l", long + x) for i, x in enumerate(["Every entry is written down at once.", "Every entry is wri"])] * 1 + [("t", 9, "f", "l", "Every entry is written down at once.")], "table_name string, row_id int, field_name string, loader string, value string")
     assert [r["row_id"] for r in truncation.find_truncated(df).where("cut").collect()] == [1]
+
+
+def test_evidence_names_a_longer_copy(spark):
+    whole = [(i, f"As a clerk, I want to sort the loans number {i}x so that nothing is lost by hand.") for i in range(20)]
+    cut = [(100, "As a clerk, I want to sort the loans number 7x so that nothing is lo"), (101, "As a clerk, I want to sort the loans number")]
+    df = spark.createDataFrame([("t", i, "f", "l", v) for i, v in whole + cut], "table_name string, row_id int, field_name string, loader string, value string")
+    got = {r["row_id"]: r for r in truncation.find_truncated(df).where("cut").collect()}
+    assert set(got) == {100, 101} and got[101]["signal"] == "prefix" and got[101]["longer"] >= 20 and got[101]["copy_id"] == 0
+    assert got[100]["signal"] in ("prefix", "word")
+
+
+def test_cut_words_of_any_length(spark):
+    long = "x" * 40
+    rows = [(0, f"The {long}tail and management here."), (1, f"The other {long}"), (2, "A note on manage"), (3, "A note on zebras"), (4, "A note on m")]
+    df = spark.createDataFrame([("t", i, "f", "l", v) for i, v in rows], "table_name string, row_id int, field_name string, loader string, value string")
+    got = {r["row_id"]: r["signal"] for r in truncation.find_truncated(df).where("cut").collect()}
+    assert got == {1: "word", 2: "word", 4: "word"}
