@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.operators.graph import components
 from arcloom.tables import cut
 
 
@@ -56,6 +55,51 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     return found.withColumn("r", rank).where(f"r <= {k} and i <> j").select("i", "j", "w")
 
 
+def group_weights(vectors: DataFrame, links: DataFrame, by: list[str], a: float, k: int, block: int = 1024) -> DataFrame:
+    """(by, i, j, w): a · similarity + (1 − a) · link of each node's ``k`` heaviest partners in its group, in both directions.
+
+    ``vectors`` (by, id, vec), ``links`` (by, i, j) in both directions. Similarities (1 + cosine) / 2 are
+    scaled by the largest of the group, links by 1. The ``k`` most similar nodes and all linked ones
+    hold a node's ``k`` heaviest; a group is compared in blocks of rows, a pair of blocks a task.
+    Shorter vectors are filled up with zeros.
+    """
+    sizes = vectors.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max(F.size("vec")).alias("dims"))
+    filled = F.concat("vec", F.array_repeat(F.lit(0.0), F.col("dims") - F.size("vec")))
+    v = vectors.join(sizes, by).select(*by, F.col("id").cast("long").alias("id"), unit(filled).alias("u"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"))
+    rows = cut(v.groupBy(*by, "b", "blocks").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("u")).alias("us")))
+    mine = rows.select(*by, "ids", "us", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    pairs = mine.join(rows.select(*by, "b", F.col("ids").alias("jds"), F.col("us").alias("vs")), [*by, "b"])
+    kinds = ", ".join(f"`{x}` {vectors.schema[x].dataType.simpleString()}" for x in by)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, jds = np.asarray(r.ids), np.asarray(r.jds)
+                s = (1 + np.asarray(r.us).reshape(len(ids), -1) @ np.asarray(r.vs).reshape(len(jds), -1).T) / 2
+                out = []
+                for n, i in enumerate(ids):
+                    order = [t for t in np.lexsort((jds, -np.round(s[n], 9)))[: k + 1] if jds[t] != i][:k]
+                    out += [(int(i), int(jds[t]), float(s[n, t])) for t in order]
+                got = pd.DataFrame(out, columns=["i", "j", "s"]).astype({"i": "int64", "j": "int64", "s": "float64"})
+                for x in by:
+                    got[x] = getattr(r, x)
+                yield got[[*by, "i", "j", "s"]]
+
+    near = pairs.mapInPandas(best, f"{kinds}, i long, j long, s double")
+    near = cut(near.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.desc(F.round("s", 9)), "j"))).where(F.col("__r") <= k).drop("__r"))
+    linked = links.where("i <> j").select(*by, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct()
+    far = linked.join(near.select(*by, "i", "j"), [*by, "i", "j"], "left_anti")
+    far = far.join(v.select(*by, F.col("id").alias("i"), F.col("u").alias("x")), [*by, "i"]).join(v.select(*by, F.col("id").alias("j"), F.col("u").alias("y")), [*by, "j"])
+    far = far.select(*by, "i", "j", ((1 + F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda m, z: m + z)) / 2).alias("s"))
+    top = near.groupBy(*by).agg(F.max("s").alias("top"))
+    both = near.unionByName(far).join(linked.withColumn("link", F.lit(1.0)), [*by, "i", "j"], "left").join(top, by)
+    w = a * F.when(F.col("top") > 1e-12, F.col("s") / F.col("top")).otherwise(0.0) + (1 - a) * F.coalesce("link", F.lit(0.0))
+    heavy = Window.partitionBy(*by, "i").orderBy(F.desc(F.round("w", 9)), "j")
+    kept = both.select(*by, "i", "j", w.alias("w")).withColumn("__r", F.row_number().over(heavy)).where(F.col("__r") <= k).drop("__r")
+    turned = kept.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "w")
+    return kept.unionByName(turned).groupBy(*by, "i", "j").agg(F.max("w").alias("w"))
+
+
 def symmetric_max(pairs: DataFrame) -> DataFrame:
     both = pairs.select("i", "j", "w").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     return both.groupBy("i", "j").agg(F.max("w").alias("w"))
@@ -107,6 +151,25 @@ def cluster_densities(rows: DataFrame, by: list[str], label: str = "label", vec:
     return c.select(*by, label, "n", F.when(n > 1, (1 + (F.col("own") - n) / (n * (n - 1))) / 2).alias("intra"), F.when(rest > 0, (1 + F.col("out") / (n * rest)) / 2).otherwise(0.0).alias("inter"))
 
 
+def weight_densities(weights: DataFrame, labels: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """(by, label, n, intra, inter): mean weight within a cluster and to all other nodes; pairs without a weight are zeros.
+
+    ``weights`` are (i, j, w) in both directions, with those of ``by`` that tell their graphs apart; ``labels`` (by, id, label)."""
+    on = [k for k in by if k in weights.columns]
+    at = labels.select(*by, "id", label)
+    pairs = weights.where("i <> j").select(*on, "i", "j", "w").join(at.withColumnsRenamed({"id": "i", label: "a"}), [*on, "i"])
+    pairs = pairs.join(at.withColumnsRenamed({"id": "j", label: "b"}), [*by, "j"])
+    same = F.col("a") == F.col("b")
+    sums = pairs.groupBy(*by, F.col("a").alias(label)).agg(F.sum(F.when(same, F.col("w")).otherwise(0.0)).alias("own"), F.sum(F.when(same, 0.0).otherwise(F.col("w"))).alias("out"))
+    sizes = at.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy(*by).agg(F.sum("n").alias("all"))
+    t = sizes.join(whole, by) if by else sizes.crossJoin(F.broadcast(whole))  # one row
+    t = t.join(sums, [*by, label], "left")
+    n, rest = F.col("n"), F.col("all") - F.col("n")
+    own, out = F.coalesce("own", F.lit(0.0)), F.coalesce("out", F.lit(0.0))
+    return t.select(*by, label, "n", F.when(n > 1, own / (n * (n - 1))).alias("intra"), F.when(rest > 0, out / (n * rest)).otherwise(0.0).alias("inter"))
+
+
 def quality(densities: DataFrame, by: list[str]) -> DataFrame:
     """Size-weighted separation (singletons left out) and the deviation of the densities (infinite without any)."""
     use = F.col("intra").isNotNull()
@@ -116,6 +179,27 @@ def quality(densities: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def silhouette(weights: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, silhouette): mean silhouette by distances 1 - weight; pairs without a weight are at distance 1, nodes alone count 0.
+
+    Null with fewer than two clusters."""
+    on = [k for k in by if k in weights.columns]
+    at = labels.select(*by, "id", "label")
+    sizes = at.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+    near = weights.where("i <> j").select(*on, F.col("i").alias("id"), "j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "w")).alias("w"))
+    near = near.join(at.withColumnsRenamed({"id": "j", "label": "other"}), [*on, "j"]).groupBy(*by, "id", "other").agg(F.sum("w").alias("w"))
+    near = at.join(near, [*by, "id"]).join(sizes.withColumnRenamed("label", "other"), [*by, "other"])
+    home = F.col("label") == F.col("other")
+    # clusters without a weight to a node are at distance 1: they matter only where all others are
+    met = near.groupBy(*by, "id").agg(F.max(F.when(home, F.col("w") / (F.col("n") - 1))).alias("own"), F.max(F.when(~home, F.col("w") / F.col("n"))).alias("far"))
+    k = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
+    each = at.join(sizes, [*by, "label"]).join(met, [*by, "id"], "left")
+    each = each.join(k, by) if by else each.crossJoin(F.broadcast(k))  # one row
+    a, b = 1 - F.coalesce("own", F.lit(0.0)), 1 - F.coalesce("far", F.lit(0.0))
+    s = F.when(F.col("n") == 1, 0.0).otherwise((b - a) / F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.greatest(a, b)))
+    return each.groupBy(*by).agg(F.when(F.max("k") >= 2, F.avg(s)).alias("silhouette"))
+
+
 def adjusted_rand(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """(by, ari) of two labellings of the same rows, from their contingency counts."""
 
@@ -132,6 +216,15 @@ def adjusted_rand(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -
     return t.select(*by, F.when(top - expected == 0, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
 
 
+def mean_pairwise_rand(runs: DataFrame, by: list[str], run: str = "seed") -> DataFrame:
+    """(by, mean_ari): mean adjusted Rand index of all pairs of runs (by, run, id, label); 1 where there is one run only."""
+    a = runs.select(*by, "id", F.col(run).alias("r1"), F.col("label").alias("a"))
+    b = runs.select(*by, "id", F.col(run).alias("r2"), F.col("label").alias("b"))
+    each = adjusted_rand(a.join(b, [*by, "id"]).where("r1 < r2"), [*by, "r1", "r2"])
+    mean = each.groupBy(*by).agg(F.avg("ari").alias("mean_ari"))
+    return runs.select(*by).distinct().join(mean, by, "left").select(*by, F.coalesce("mean_ari", F.lit(1.0)).alias("mean_ari"))
+
+
 def coassociation(runs: DataFrame, queries: DataFrame, n_runs: int) -> DataFrame:
     """(i, j, freq): share of the runs that put query i and row j together (zeros left out)."""
     q = queries.select("run", "label", F.col("id").alias("i"))
@@ -139,10 +232,12 @@ def coassociation(runs: DataFrame, queries: DataFrame, n_runs: int) -> DataFrame
     return hit.groupBy("i", "j").agg((F.count(F.lit(1)) / n_runs).alias("freq"))
 
 
-def min_max(x: Column, over: Window | None = None) -> Column:
-    w = over or Window.partitionBy()
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
-    return F.when(hi - lo > 0, (x - lo) / (hi - lo)).otherwise(0.0)
+def min_max(x: Column, over: Window) -> Column:
+    """Scaled to [0, 1] over a window; what is not finite gives NaN, and all zeros come out where nothing finite differs."""
+    inf = float("inf")
+    real = F.when(~F.isnan(x) & (x < inf) & (x > -inf), x)
+    lo, hi = F.min(real).over(over), F.max(real).over(over)
+    return F.when(hi - lo >= 1e-12, F.coalesce((real - lo) / (hi - lo), F.lit(float("nan")))).otherwise(0.0)
 
 
 def composite(ari: Column, sep: Column, small: Column, over: Column, under: Column, cv: Column, dens: Column) -> Column:
@@ -150,37 +245,44 @@ def composite(ari: Column, sep: Column, small: Column, over: Column, under: Colu
     return 0.45 * ari + 0.45 * sep - (0.40 * small + 0.20 * over + 0.10 * under + 0.20 * cv + 0.15 * dens)
 
 
-def cpm_communities(edges: DataFrame, keys: list[str], gamma: float, seed: int = 2025, rounds: int | None = None) -> DataFrame:
+def cpm_communities(edges: DataFrame, keys: list[str], gamma: float | str, seed: int | str = 2025, rounds: int | None = None) -> DataFrame:
     """(keys, id, label): communities by local moving under the constant Potts model, many nodes at a time.
+    ``gamma`` and ``seed`` are values, or the names of key columns that hold them.
 
     In each round half of the nodes (by a hash of the seed and the round) move to the neighbouring
     community of the largest gain: weight to it minus gamma times its size. Only moves that gain are
     made, so ties stay. It ends when no node wants to move. Moves of one round may spoil each other: a
-    round that does not raise the quality is taken back, and instead each community is part of one move
-    at most, which always raises it, so no state comes again. With ``rounds``, an error is raised where
-    these are not enough. Everything is joins on nodes and communities, so no graph has to fit a task.
+    round that does not raise a graph's quality is taken back there, and instead each community is part
+    of one move at most, which always raises it, so no state comes again. With ``rounds``, an error is
+    raised where these are not enough. Everything is joins on nodes and communities, so no graph has to
+    fit a task.
     """
     w = edges.select(*keys, "src", "dst", "w").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst").groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
     w = cut(w)
+    gamma, seed = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (gamma, seed))
     now = cut(w.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    last, n = None, 0  # the state before a round of many moves, with its quality
+    last, n = None, 0  # the states before a round of many moves, with their quality
     while True:
-        best = cut(_wishes(w, now, keys, gamma))
+        best = cut(_wishes(w, now, keys, gamma), loop=True)
         # half the weight inside and half the pairs inside, seen from each node
-        s = best.agg(F.sum((F.col("w") - gamma * (F.col("n") - 1)) / 2).alias("quality"), F.count_if(F.col("to") != F.col("old")).alias("wishes")).first()
-        if not s["wishes"]:
+        q = best.groupBy(*keys).agg(F.sum((F.col("w") - gamma * (F.col("n") - 1)) / 2).alias("quality"), F.count_if(F.col("to") != F.col("old")).alias("wishes"))
+        if last is not None:
+            q = q.join(last.groupBy(*keys).agg(F.first("quality").alias("before")), keys, "left")
+        q = cut(q.withColumn("back", F.coalesce(F.col("quality") <= F.col("before") + 1e-9, F.lit(False)) if last is not None else F.lit(False)), loop=True)
+        wishes = q.agg(F.sum("wishes")).first()[0]
+        if not wishes:
             return now
         if rounds is not None and n >= rounds:
-            raise RuntimeError(f"{s['wishes']} nodes still want to move after {rounds} rounds")
-        if last is not None and s["quality"] <= last[1] + 1e-9:
-            moves, last = _apart(last[0], keys, seed, n), None
-        else:
-            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(2)) == 0
-            moves, last = best.select(*keys, "id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label")), (best, s["quality"])
-        now, n = cut(moves), n + 1
+            raise RuntimeError(f"{wishes} nodes still want to move after {rounds} rounds")
+        turn = F.pmod(F.xxhash64(seed, F.lit(n), "id"), F.lit(2)) == 0
+        forth = best.join(q.where("not back").select(*keys, "quality"), keys)
+        moves = forth.select(*keys, "id", F.when(turn, F.col("to")).otherwise(F.col("old")).alias("label"))
+        if last is not None:
+            moves = moves.unionByName(_apart(last.join(q.where("back").select(*keys), keys, "left_semi"), keys, seed, n))
+        now, last, n = cut(moves, loop=True), forth, n + 1
 
 
-def _wishes(w: DataFrame, now: DataFrame, keys: list[str], gamma: float) -> DataFrame:
+def _wishes(w: DataFrame, now: DataFrame, keys: list[str], gamma: Column) -> DataFrame:
     """(keys, id, old, to, gain, w, n): where each node wants to be, with its weight to and the size of its own community."""
     to = w.join(now.select(*keys, F.col("id").alias("dst"), "label"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
     size = now.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
@@ -195,25 +297,31 @@ def _wishes(w: DataFrame, now: DataFrame, keys: list[str], gamma: float) -> Data
     return best
 
 
-def _apart(best: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
+def _apart(best: DataFrame, keys: list[str], seed: Column, n: int) -> DataFrame:
     """(keys, id, label) after moves of which no two share a community, the largest gains first."""
-    rank = F.struct("gain", F.xxhash64(F.lit(seed), F.lit(n), "id"), "id")
+    rank = F.struct("gain", F.xxhash64(seed, F.lit(n), "id"), "id")
     asked = best.where(F.col("to") != F.col("old")).select(*keys, "id", F.explode(F.array("old", "to")).alias("label"), rank.alias("rank"))
     first = asked.groupBy(*keys, "label").agg(F.max_by("id", "rank").alias("id"))
     moves = first.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("won"))
     return best.join(moves, [*keys, "id"], "left").select(*keys, "id", F.when(F.col("won") == 2, F.col("to")).otherwise(F.col("old")).alias("label"))
 
 
-def consensus(runs: DataFrame, edges: DataFrame, keys: list[str], tau: float) -> DataFrame:
-    """(keys, id, component): nodes joined by edges whose ends are together in at least ``tau`` of the runs.
-
-    ``runs`` are (keys, run, id, label). Only pairs that are edges are looked at, not all pairs."""
+def agreeing(runs: DataFrame, edges: DataFrame, keys: list[str], tau: float) -> DataFrame:
+    """(keys, src, dst, f): edges whose ends are together in at least ``tau`` of the runs (keys, run, id, label), with that share."""
     n = runs.select("run").distinct().count() or 1
     a = runs.select(*keys, "run", F.col("id").alias("src"), F.col("label").alias("a"))
     b = runs.select(*keys, "run", F.col("id").alias("dst"), F.col("label").alias("b"))
     both = edges.select(*keys, "src", "dst").distinct().join(a, [*keys, "src"]).join(b, [*keys, "run", "dst"])
-    kept = both.groupBy(*keys, "src", "dst").agg((F.sum((F.col("a") == F.col("b")).cast("int")) / n).alias("f")).where(F.col("f") >= tau)
-    return components(cut(kept), keys)
+    return both.groupBy(*keys, "src", "dst").agg((F.sum((F.col("a") == F.col("b")).cast("int")) / n).alias("f")).where(F.col("f") >= tau)
+
+
+def consensus(runs: DataFrame, edges: DataFrame, keys: list[str], tau: float, gamma: float = 0.1) -> DataFrame:
+    """(keys, id, label): communities of the edges that at least ``tau`` of the runs agree on, weighted by that share.
+
+    ``runs`` are (keys, run, id, label). Only pairs that are edges are looked at, not all pairs; nodes
+    without such an edge are communities of their own and left out."""
+    kept = agreeing(runs, edges, keys, tau).withColumnRenamed("f", "w")
+    return cpm_communities(cut(kept), keys, gamma)
 
 
 def merge_tiny(centroids: DataFrame, least: int) -> DataFrame:

@@ -7,31 +7,37 @@ round, against the arcs and the set already visited; lineage is cut by a checkpo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.tables import cut
 
 
+#: Rounds after which the fronts of a closure are put together.
+PACK = 12
+
+
 def closure(seeds: DataFrame, arcs: DataFrame, keys: list[str], node: str = "id", depth: str | None = None, rounds: int | None = None) -> DataFrame:
     """Everything reachable from ``seeds`` (keys + node) over ``arcs`` (arc keys + src, dst), seeds included.
 
     ``keys`` are the seed columns carried along (a slice id, a repository); those that arcs have too
-    are joined on. ``depth`` names a column for the number of the round that reached a node.
+    are joined on. ``depth`` names a column for the number of the round that reached a node. Each round
+    writes its front only; what was visited is the union of the fronts, put together every ``PACK``
+    rounds, so a closure of n rounds writes its result about n / ``PACK`` times at the most.
     """
     on = [k for k in keys if k in arcs.columns]
-    step = arcs.select(*on, F.col("src").alias(node), F.col("dst").alias("__to")).distinct()
-    front = cut(seeds.select(*keys, node).where(F.col(node).isNotNull()).distinct())
-    done, n = front.withColumn("__depth", F.lit(0)), 0
+    step = cut(arcs.select(*on, F.col("src").alias(node), F.col("dst").alias("__to")).distinct())
+    front = cut(seeds.select(*keys, node).where(F.col(node).isNotNull()).distinct().withColumn("__depth", F.lit(0)))
+    done, n = front, 0
     while rounds is None or n < rounds:
         n += 1
         reached = front.join(step, [*on, node]).select(*keys, F.col("__to").alias(node)).distinct()
-        front = cut(reached.join(done.select(*keys, node), [*keys, node], "left_anti"))
+        front = cut(reached.join(done.select(*keys, node), [*keys, node], "left_anti").withColumn("__depth", F.lit(n)), loop=True)
         if front.isEmpty():
             break
-        done = cut(done.unionByName(front.withColumn("__depth", F.lit(n))))
+        done = done.unionByName(front)
+        if n % PACK == 0:
+            done = cut(done, loop=True)
     return done.withColumnRenamed("__depth", depth) if depth else done.drop("__depth")
 
 
@@ -123,29 +129,3 @@ def first_match(left: DataFrame, candidates: list[tuple[DataFrame, list[str]]],
         left = left.join(one, on, "left")
         tries.append(f"__v{i}")
     return left.withColumn(value, F.coalesce(*tries)).drop(*tries)
-
-
-def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, rounds: int) -> DataFrame:
-    """Repeat ``step`` (same columns) until no ``value`` changes, or ``rounds`` times."""
-    now = cut(start)
-    for _ in range(rounds):
-        new = cut(step(now))
-        changed = new.join(now.withColumnRenamed(value, "__old"), keys).where(~F.col(value).eqNullSafe(F.col("__old")))
-        now = new
-        if changed.isEmpty():
-            break
-    return now
-
-
-def components(edges: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
-    """(keys, id, component): connected components by the least id, with pointer jumping."""
-    both = edges.select(*keys, "src", "dst").unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    start = both.select(*keys, F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-
-    def step(now: DataFrame) -> DataFrame:
-        near = both.join(now.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        least = now.join(near, [*keys, "id"], "left").select(*keys, "id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        root = least.select(*keys, F.col("id").alias("component"), F.col("component").alias("root"))
-        return least.join(root, [*keys, "component"], "left").select(*keys, "id", F.least("component", F.coalesce("root", "component")).alias("component"))
-
-    return until_stable(start, step, [*keys, "id"], "component", rounds)

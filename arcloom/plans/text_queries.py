@@ -11,7 +11,7 @@ from arcloom.plans.graph_queries import vertices_of
 from arcloom.tables import table
 
 
-def _java(spark: SparkSession, sf_dir: str) -> DataFrame:
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Java files once each: file_id, repo, name (simple class name), pkg, code."""
     f = table(spark, sf_dir, "code_file").where("file_code is not null and lower(file_path) like '%.java'").dropDuplicates(["file_id"])
     path = F.regexp_replace("file_path", r"\\", "/")
@@ -32,7 +32,7 @@ def repo_statistics(spark, sf_dir):
 
 def import_edges(spark, sf_dir):
     """Arcs from a file's class to the known classes it imports by name or by package."""
-    j = _java(spark, sf_dir).where("pkg <> ''").select("repo", F.concat_ws(".", "pkg", "name").alias("src"), F.explode(texts.imported(F.col("code"))).alias("imp"))
+    j = java_files(spark, sf_dir).where("pkg <> ''").select("repo", F.concat_ws(".", "pkg", "name").alias("src"), F.explode(texts.imported(F.col("code"))).alias("imp"))
     known = vertices_of(spark, sf_dir).select("repo", F.col("id").alias("dst"), "owner_id")
     exact = j.join(known, (j.repo == known.repo) & (j.imp == known.dst)).select(j.repo, "src", "dst")
     wide = j.where("imp like '%.*'").withColumn("owner", F.expr("substr(imp, 1, length(imp) - 2)"))
@@ -42,7 +42,7 @@ def import_edges(spark, sf_dir):
 
 def resolved_files(spark, sf_dir):
     """The class each Java file stands for: by its full name, else by its simple name in the repository."""
-    j = _java(spark, sf_dir).select("file_id", "repo", "name", F.concat_ws(".", "pkg", "name").alias("fqn"))
+    j = java_files(spark, sf_dir).select("file_id", "repo", "name", F.concat_ws(".", "pkg", "name").alias("fqn"))
     v = vertices_of(spark, sf_dir).select("repo", "id")
     full = v.select("repo", F.col("id").alias("fqn"), F.col("id").alias("a")).distinct()
     simple = v.groupBy("repo", F.substring_index("id", ".", -1).alias("name")).agg(F.min("id").alias("b"))
@@ -52,7 +52,7 @@ def resolved_files(spark, sf_dir):
 
 def name_links(spark, sf_dir):
     """Java files of a repository that mention another file's class name (equi-join on identifiers, in both directions)."""
-    j = _java(spark, sf_dir)
+    j = java_files(spark, sf_dir)
     ids = j.select("repo", F.col("file_id").alias("a"), F.explode(texts.identifiers(F.col("code"))).alias("name"))
     hit = ids.join(j.select("repo", "name", F.col("file_id").alias("b")), ["repo", "name"]).where("a <> b").select("a", "b")
     return hit.unionByName(hit.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

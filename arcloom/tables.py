@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +29,29 @@ def _nested(df: DataFrame, name: str) -> bool:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a private one only where none is set (tests)."""
+    """Use the folder the session names in ``spark.checkpoint.dir``. Where none is set, a local session gets
+    one in its warehouse folder; a cluster, whose executors would each write to a disk of their own, is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcloom-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    sc.setCheckpointDir(named)
+
 
+def cut(df: DataFrame, loop: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which survives the loss of executors.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    A checkpointed frame keeps the estimates of its plan, and a join's is the product of its sides: in a
+    loop the numbers would double their digits each round until planning takes longer than running.
+    ``loop`` drops them, with what is known of the partitioning.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    if not loop:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)

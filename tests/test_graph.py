@@ -1,4 +1,3 @@
-import itertools
 
 from pyspark.sql import functions as F
 
@@ -87,24 +86,6 @@ def test_dense_ids_are_consecutive(spark):
     assert got == [(i, i + 5) for i in range(1000)]
 
 
-def test_components_agree_with_union_find(spark):
-    edges = [(f"n{a}", f"n{(a * 7 + 3) % 40}") for a in range(0, 40, 3)]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    df = spark.createDataFrame([(1, a, b) for a, b in edges], "repo int, src string, dst string")
-    got = {r["id"]: r["component"] for r in graph.components(df, ["repo"]).collect()}
-    for a, b in itertools.combinations(got, 2):
-        assert (got[a] == got[b]) == (find(a) == find(b))
-
-
 def test_induced_keeps_arcs_within_a_group(spark):
     m = spark.createDataFrame([(9, 1, "a"), (9, 1, "b"), (8, 1, "b"), (8, 2, "x")], "feature int, repo int, id string")
     assert {tuple(r) for r in graph.induced(m, arcs(spark), ["feature"], ["repo"]).collect()} == {(9, "a", "b")}
