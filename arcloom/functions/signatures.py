@@ -31,18 +31,36 @@ def method_of(signature: Column) -> Column:
     return F.when(n == "<init>", simple_class(signature)).otherwise(n)
 
 
-def erased(text: Column, depth: int = 6) -> Column:
-    """Without type arguments, up to ``depth`` levels of them."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"<[^<>]*>", "")
-    return text
+def _characters(text: Column) -> Column:
+    """The characters of ``text`` with the depth in type arguments and in other brackets before each."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    zero = F.struct(F.lit(0).alias("ang"), F.lit(0).alias("par"), F.array().cast("array<struct<c:string,ang:int,par:int>>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        ang = a["ang"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        par = a["par"] + F.when(c.isin("(", "["), 1).when(c.isin(")", "]"), -1).otherwise(0)
+        return F.struct(ang.alias("ang"), par.alias("par"), F.concat(a["out"], F.array(F.struct(c.alias("c"), ang.alias("ang"), par.alias("par")))).alias("out"))
+
+    return F.aggregate(chars, zero, step)["out"]
+
+
+def erased(text: Column) -> Column:
+    """Without type arguments, however deep."""
+    return F.array_join(F.transform(F.filter(_characters(text), lambda x: (x["ang"] == 0) & (x["c"] != ">")), lambda x: x["c"]), "")
+
+
+def split_parameters(inside: Column) -> Column:
+    """The parameters between the commas that stand outside of all brackets, without type arguments."""
+    kept = F.filter(_characters(inside), lambda x: (x["ang"] == 0) & (x["c"] != ">"))
+    # a comma between parameters becomes a character that no source has
+    text = F.array_join(F.transform(kept, lambda x: F.when((x["c"] == ",") & (x["par"] == 0), F.lit("\x00")).otherwise(x["c"])), "")
+    return F.filter(F.transform(F.split(text, "\x00"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parameter_types(signature: Column) -> Column:
-    """The parameters' types, erased, without their names, modifiers and packages."""
-    inside = F.regexp_extract(erased(F.regexp_replace(signature, "<init>", "init")), r"\((.*)\)\s*$", 1)
-    parts = F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
-    typed = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:final\s+|@\w+\s+)+", ""), r"\s+\w+$", ""))
+    """The parameters' types, erased, without their names, modifiers, annotations and packages."""
+    inside = F.regexp_extract(signature, r"\((.*)\)\s*$", 1)
+    typed = F.transform(split_parameters(inside), lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:final\s+|@\w+(?:\([^)]*\))?\s+)+", ""), r"\s+\w+$", ""))
     return F.transform(typed, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", ""), r"^(?:\w+\.)+(\w)", "$1"))
 
 

@@ -12,6 +12,11 @@ def lines(code: Column) -> Column:
     return F.split(code, r"\r\n|\r|\n")
 
 
+def line_slice(lines_: Column, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last`` (from 1, inclusive) of an array of lines, as text."""
+    return F.array_join(F.slice(lines_, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
 def is_code_line(line: Column) -> Column:
     """Counts as a line of code: not blank, and not beginning like a comment."""
     x = F.regexp_replace(line, r"^\s+|\s+$", "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions import signatures as sig
 from arcloom.operators import graph, upsert
+from arcloom.plans.signature_sql import SIGNATURES
 from arcloom.tables import first_delivery, table
 
 
@@ -62,13 +63,6 @@ def method_signatures(spark, sf_dir):
     return cm.select("method_name", sig.class_of(m).alias("class_id"), sig.method_of(m).alias("method"), sig.normalised(m).alias("normalised"))
 
 
-def bound_functions(spark, sf_dir):
-    """Functions of the sources in the classes that features name: the class patterns become an equi-join."""
-    cm = table(spark, sf_dir, "code_map").where("method_name is not null and feature is not null").select("feature", sig.class_of(F.col("method_name")).alias("c")).distinct()
-    fn = table(spark, sf_dir, "code_function").where("func_fullname is not null").select("func_id", sig.class_of(F.col("func_fullname")).alias("c")).distinct()
-    return cm.join(fn, "c").select("feature", "func_id").distinct()
-
-
 def first_feature_of_method(spark, sf_dir):
     """Where features share a method, the feature with the least id has it."""
     cm = table(spark, sf_dir, "code_map").where("method_name is not null and feature is not null")
@@ -116,15 +110,18 @@ def surviving_methods(spark, sf_dir):
     return upsert.without(table(spark, sf_dir, "code_map").select("id", "feature").distinct(), gone_f, "feature").select("id")
 
 
+_KINDS = ["Annotation", "Class", "Enum", "Interface", "Other"]
+
+
 def kind_matrix(spark, sf_dir):
-    """Vertex kinds by repository as a matrix (pivot)."""
-    v = table(spark, sf_dir, "vertices").select("repo", "id", "kind").distinct()
-    return v.groupBy("repo").pivot("kind", ["Class", "Enum", "Interface"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Vertex kinds by repository as a matrix (pivot); kinds beyond the four of type declarations, and none, are in ``Other``."""
+    v = table(spark, sf_dir, "vertices").select("repo", "id", F.when(F.col("kind").isin(*_KINDS[:-1]), F.col("kind")).otherwise("Other").alias("kind")).distinct()
+    return v.groupBy("repo").pivot("kind", _KINDS).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def kind_matrix_melted(spark, sf_dir):
     """The matrix back as rows, zeros left out (unpivot)."""
-    return kind_matrix(spark, sf_dir).unpivot("repo", ["Class", "Enum", "Interface"], "kind", "n").where("n > 0")
+    return kind_matrix(spark, sf_dir).unpivot("repo", _KINDS, "kind", "n").where("n > 0")
 
 
 def file_numbers(spark, sf_dir):
@@ -143,7 +140,7 @@ def path_tree(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        project_list, project_overview, module_prompts, feature_ordinals, nested_features, method_signatures, bound_functions, first_feature_of_method, upsert_features,
+        project_list, project_overview, module_prompts, feature_ordinals, nested_features, method_signatures, first_feature_of_method, upsert_features,
         upsert_edges, upsert_methods, delete_project_rows, surviving_methods, kind_matrix, kind_matrix_melted, file_numbers, path_tree,
     )
 }
@@ -157,11 +154,7 @@ _HEAD = "trim(split_part(method_name, '(', 1))"
 _CLS = f"CASE WHEN contains({_HEAD}, '.') THEN regexp_extract({_HEAD}, '^(.*)\\.[^.]*$', 1) END"
 _SHORT = f"regexp_extract({_HEAD}, '([^.]*)$', 1)"
 _MET = f"CASE WHEN {_SHORT} = '<init>' THEN regexp_extract({_CLS}, '([^.]*)$', 1) ELSE {_SHORT} END"
-_ERASED = "replace(method_name, '<init>', 'init')"
-for _ in range(6):
-    _ERASED = f"regexp_replace({_ERASED}, '<[^<>]*>', '', 'g')"
-_TYPES = f"list_transform(list_filter(list_transform(string_split(regexp_extract({_ERASED}, '\\((.*)\\)\\s*$', 1), ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^(?:final\\s+|@\\w+\\s+)+', ''), '\\s+\\w+$', ''), '\\s+', '', 'g'), '^(?:\\w+\\.)+(\\w)', '\\1'))"
-_KIND = "SELECT repo, count(DISTINCT id) FILTER (WHERE kind = 'Class') AS Class, count(DISTINCT id) FILTER (WHERE kind = 'Enum') AS Enum, count(DISTINCT id) FILTER (WHERE kind = 'Interface') AS Interface FROM vertices GROUP BY repo"
+_KIND = "SELECT repo, " + ", ".join(f"count(DISTINCT id) FILTER (WHERE kind = '{k}') AS {k}" for k in ("Annotation", "Class", "Enum", "Interface")) + ", count(DISTINCT id) FILTER (WHERE kind IS NULL OR kind NOT IN ('Annotation', 'Class', 'Enum', 'Interface')) AS Other FROM vertices GROUP BY repo"
 
 ORACLE = {
     "project_list": "SELECT DISTINCT id, repo_name, CASE WHEN git_link IS NULL OR trim(git_link) = '' THEN 'no link' WHEN regexp_extract(git_link, '[/:]([A-Za-z0-9_.\\-]+/[A-Za-z0-9_.\\-]+?)(?:\\.git)?/?$', 1) = '' THEN 'unknown' ELSE regexp_extract(git_link, '[/:]([A-Za-z0-9_.\\-]+/[A-Za-z0-9_.\\-]+?)(?:\\.git)?/?$', 1) END AS git_name, loc, coalesce(summary_flag, false) AS summarised FROM project_info",
@@ -176,8 +169,7 @@ FROM (SELECT DISTINCT id FROM project_info) p""",
     "nested_features": _LIVE
     + """, pf AS (SELECT f.id, f.module, count(DISTINCT cm.method_name) AS n FROM f LEFT JOIN cm ON cm.feature = f.id GROUP BY ALL)
 SELECT m.id AS module, m.repo, count(pf.id) AS n_features, coalesce(sum(pf.n), 0)::BIGINT AS n_methods, min(pf.id) AS first_feature FROM m LEFT JOIN pf ON pf.module = m.id GROUP BY m.id, m.repo""",
-    "method_signatures": f"SELECT DISTINCT method_name, {_CLS} AS class_id, {_MET} AS method, coalesce({_CLS} || '.', '') || {_MET} || '(' || array_to_string({_TYPES}, ',') || ')' AS normalised FROM code_map WHERE method_name IS NOT NULL",
-    "bound_functions": f"SELECT DISTINCT a.feature, b.func_id FROM (SELECT DISTINCT feature, {_CLS} AS c FROM code_map WHERE method_name IS NOT NULL AND feature IS NOT NULL) a JOIN (SELECT DISTINCT func_id, {_CLS.replace('method_name', 'func_fullname')} AS c FROM code_function WHERE func_fullname IS NOT NULL) b ON a.c = b.c",
+    "method_signatures": "WITH names AS (SELECT method_name AS m FROM code_map WHERE method_name IS NOT NULL)," + SIGNATURES + " SELECT m AS method_name, cls AS class_id, method, normalised FROM sg",
     "first_feature_of_method": "SELECT method_name, min(feature) AS feature FROM code_map WHERE method_name IS NOT NULL AND feature IS NOT NULL GROUP BY method_name",
     "upsert_features": """
 WITH old AS (SELECT * FROM features WHERE loaded_at < TIMESTAMPTZ '2024-12-01 00:00:00+00'), late AS (SELECT module, feature_id FROM features WHERE loaded_at >= TIMESTAMPTZ '2024-12-01 00:00:00+00' GROUP BY ALL),
@@ -192,7 +184,7 @@ UNION ALL SELECT DISTINCT 'features', id FROM features f WHERE NOT EXISTS (SELEC
 UNION ALL SELECT DISTINCT 'modules', id FROM modules WHERE repo IS DISTINCT FROM 12 UNION ALL SELECT DISTINCT 'graph_edge', id FROM graph_edge WHERE repo IS DISTINCT FROM 12""",
     "surviving_methods": _LIVE + ", gf AS (SELECT id FROM f0 WHERE deleted_at IS NOT NULL OR module IN (SELECT id FROM m0 WHERE deleted_at IS NOT NULL)) SELECT DISTINCT id FROM code_map c WHERE NOT EXISTS (SELECT 1 FROM gf WHERE gf.id = c.feature)",
     "kind_matrix": _KIND,
-    "kind_matrix_melted": f"SELECT repo, kind, n FROM (UNPIVOT ({_KIND}) ON Class, Enum, Interface INTO NAME kind VALUE n) WHERE n > 0",
+    "kind_matrix_melted": f"SELECT repo, kind, n FROM (UNPIVOT ({_KIND}) ON Annotation, Class, Enum, Interface, Other INTO NAME kind VALUE n) WHERE n > 0",
     "file_numbers": "SELECT repo, path, row_number() OVER (ORDER BY repo, path) - 1 AS file_no FROM (SELECT DISTINCT repo, replace(file_path, '\\', '/') AS path FROM code_file)",
     "path_tree": """
 SELECT repo, folder, parent, count(*) AS files FROM (

@@ -31,13 +31,18 @@ def repo_statistics(spark, sf_dir):
 
 
 def import_edges(spark, sf_dir):
-    """Arcs from a file's class to the known classes it imports by name or by package."""
-    j = java_files(spark, sf_dir).where("pkg <> ''").select("repo", F.concat_ws(".", "pkg", "name").alias("src"), F.explode(texts.imported(F.col("code"))).alias("imp"))
+    """Arcs from a file's class to the known classes it imports by name or by package, else those of a class's simple name in its text.
+
+    Files stand for the class of their full name, else for the one of their simple name (``resolved_files``)."""
     known = vertices_of(spark, sf_dir).select("repo", F.col("id").alias("dst"), "owner_id")
-    exact = j.join(known, (j.repo == known.repo) & (j.imp == known.dst)).select(j.repo, "src", "dst")
-    wide = j.where("imp like '%.*'").withColumn("owner", F.expr("substr(imp, 1, length(imp) - 2)"))
-    pack = wide.join(known, (wide.repo == known.repo) & (wide.owner == known.owner_id)).select(wide.repo, "src", "dst")
-    return exact.unionByName(pack).where("src <> dst").distinct()
+    at = resolved_files(spark, sf_dir).where("class_id is not null").select("file_id", F.col("class_id").alias("src"))
+    j = java_files(spark, sf_dir).select("file_id", "repo", "code").join(at, "file_id")
+    imp = j.select("repo", "src", F.explode(texts.imported(F.col("code"))).alias("imp"))
+    exact = imp.join(known.withColumnRenamed("dst", "imp"), ["repo", "imp"]).select("repo", "src", F.col("imp").alias("dst"), F.lit("import").alias("how"))
+    wide = imp.where("imp like '%.*'").withColumn("owner_id", F.expr("substr(imp, 1, length(imp) - 2)")).join(known, ["repo", "owner_id"]).select("repo", "src", "dst", F.lit("package").alias("how"))
+    simple = known.groupBy("repo", F.substring_index("dst", ".", -1).alias("name")).agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    word = j.select("repo", "src", F.explode(texts.identifiers(F.col("code"))).alias("name")).join(simple, ["repo", "name"]).select("repo", "src", "dst", F.lit("name").alias("how"))
+    return exact.unionByName(wide).unionByName(word).where("src <> dst").distinct()
 
 
 def resolved_files(spark, sf_dir):
@@ -76,17 +81,17 @@ def assembled_code(spark, sf_dir):
 
 def file_versions(spark, sf_dir):
     """Files of the same name and folder in several repositories: whether each differs from the first one."""
-    pair = _same_files(spark, sf_dir)
+    pair = same_files(spark, sf_dir)
     return pair.select("file_id", "first_id", diff.differs(F.col("first_code"), F.col("code")).alias("differs"))
 
 
 def file_diffs(spark, sf_dir):
     """The unified diffs of those that differ."""
-    pair = _same_files(spark, sf_dir).where(diff.differs(F.col("first_code"), F.col("code")))
+    pair = same_files(spark, sf_dir).where(diff.differs(F.col("first_code"), F.col("code")))
     return pair.select("file_id", "first_id", diff.unified_diff("first_code", "code", "file_name").alias("diff"))
 
 
-def _same_files(spark, sf_dir):
+def same_files(spark, sf_dir):
     f = table(spark, sf_dir, "code_file").where("file_code is not null").dropDuplicates(["file_id"])
     parts = F.split(F.lower(F.regexp_replace("file_path", r"\\", "/")), "/")
     f = f.select("file_id", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(3)), "/").alias("file_name"), F.size(parts).alias("n"), F.col("file_code").alias("code")).where("n >= 3").drop("n")
@@ -134,8 +139,12 @@ ORACLE = {
     "loc_by_file": f"SELECT file_id, repo, {_LOC} AS loc FROM {_FILES}",
     "repo_statistics": f"SELECT repo, count(*) AS files, sum({_LOC})::BIGINT AS loc, coalesce(sum((SELECT count(DISTINCT func_id) FROM code_function c WHERE c.file_id = f.file_id)), 0)::BIGINT AS functions FROM {_FILES} f GROUP BY repo",
     "import_edges": _JAVA
-    + """, i AS (SELECT DISTINCT repo, pkg || '.' || name AS src, unnest(regexp_extract_all(code, '(?:^|\\n)[ \\t]*import[ \\t]+(?:static[ \\t]+)?([\\w.]+(?:\\.\\*)?)[ \\t]*;', 1)) AS imp FROM j WHERE pkg <> '')
-SELECT repo, src, dst FROM (SELECT i.repo, src, v.id AS dst FROM i JOIN v ON v.repo = i.repo AND v.id = imp UNION SELECT i.repo, src, v.id FROM i JOIN v ON v.repo = i.repo AND imp = v.owner_id || '.*') WHERE src <> dst""",
+    + """, s AS (SELECT repo, regexp_extract(id, '([^.]*)$', 1) AS name, min(id) AS b, count(*) AS n FROM v GROUP BY ALL),
+r AS (SELECT j.file_id, j.repo, j.code, coalesce(v.id, s.b) AS src FROM j LEFT JOIN v ON v.repo = j.repo AND v.id = CASE WHEN pkg = '' THEN '.' || name ELSE pkg || '.' || name END LEFT JOIN s ON s.repo = j.repo AND s.name = j.name),
+i AS (SELECT DISTINCT repo, src, unnest(regexp_extract_all(code, '(?:^|\\n)[ \\t]*import[ \\t]+(?:static[ \\t]+)?([\\w.]+(?:\\.\\*)?)[ \\t]*;', 1)) AS imp FROM r WHERE src IS NOT NULL),
+w AS (SELECT DISTINCT repo, src, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM r WHERE src IS NOT NULL)
+SELECT repo, src, dst, how FROM (SELECT i.repo, src, v.id AS dst, 'import' AS how FROM i JOIN v ON v.repo = i.repo AND v.id = imp UNION SELECT i.repo, src, v.id, 'package' FROM i JOIN v ON v.repo = i.repo AND imp = v.owner_id || '.*'
+  UNION SELECT w.repo, src, s.b, 'name' FROM w JOIN s ON s.repo = w.repo AND s.name = w.name AND s.n = 1) WHERE src <> dst""",
     "resolved_files": _JAVA
     + """, s AS (SELECT repo, regexp_extract(id, '([^.]*)$', 1) AS name, min(id) AS b FROM v GROUP BY ALL)
 SELECT file_id, coalesce(v.id, s.b) AS class_id, CASE WHEN v.id IS NOT NULL THEN 'full' WHEN s.b IS NOT NULL THEN 'simple' ELSE 'none' END AS how
