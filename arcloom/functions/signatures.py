@@ -44,11 +44,6 @@ def _characters(text: Column) -> Column:
     return F.aggregate(chars, zero, step)["out"]
 
 
-def erased(text: Column) -> Column:
-    """Without type arguments, however deep."""
-    return F.array_join(F.transform(F.filter(_characters(text), lambda x: (x["ang"] == 0) & (x["c"] != ">")), lambda x: x["c"]), "")
-
-
 def split_parameters(inside: Column) -> Column:
     """The parameters between the commas that stand outside of all brackets, without type arguments."""
     kept = F.filter(_characters(inside), lambda x: (x["ang"] == 0) & (x["c"] != ">"))

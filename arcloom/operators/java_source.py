@@ -3,7 +3,7 @@
 One pass over the files (a lexer and a brace stack in Python, vectorised over Arrow batches) emits
 flat facts; everything that needs more than one file (names to classes, calls to methods,
 inheritance) is resolved by joins. Sources that do not parse give the facts found before the place
-where they break. Resolution is by name and number of arguments: an unknown receiver is resolved
+where they break, and a fact ``broken`` that tells where; on demand they are an error. Resolution is by name and number of arguments: an unknown receiver is resolved
 where one method of the repository has that name and arity.
 """
 
@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.operators.graph import closure
@@ -27,6 +27,7 @@ _LEX = re.compile(
 _MODIFIERS = set("public private protected static abstract final native synchronized transient volatile strictfp default sealed".split())
 _TYPES = {"class": "Class", "interface": "Interface", "enum": "Enum", "record": "Class"}
 _WORDS = set("if for while switch catch try return throw new else do case assert super this synchronized instanceof".split())
+_NEW = ("new", "this_new", "super_new")
 _PRIMS = set("int long short byte char boolean float double void var String Object Integer Long Boolean Double".split())
 
 
@@ -39,6 +40,7 @@ class _Unit:
         self.i = 0
         self.package = ""
         self.facts: list[tuple] = []
+        self.open_at: int | None = None  # where something begins that never ends
         self.starts = [0] + [m.end() for m in re.finditer("\n", code)]
 
     def line(self, pos: int) -> int:
@@ -52,13 +54,15 @@ class _Unit:
 
     def skip(self, a: str, b: str) -> int:
         """From ``a`` at the cursor past its partner; gives the index after it."""
-        depth = 0
+        depth, begin = 0, self.i
         while self.i < len(self.t):
             x = self.t[self.i][0]
             self.i += 1
             depth += (x == a) - (x == b)
             if depth == 0:
-                break
+                return self.i
+        if self.open_at is None:
+            self.open_at = begin
         return self.i
 
     def name(self) -> str:
@@ -120,14 +124,14 @@ class _Unit:
             end = self.skip("{", "}")
             text = re.sub(r"\s+", " ", self.code[self.t[start][2] : self.t[end - 1][2] + 1])
             kind = "StaticInitializer" if "static" in mods else "NormalInitializer"
-            self.declare(kind, f"{owner}.{text[:200]}", owner, kind, notes, mods, start, end)
-            self.body(f"{owner}.{text[:200]}", owner, start, end, {}, fields)
+            self.declare(kind, f"{owner}.{text}", owner, kind, notes, mods, start, end)
+            self.body(f"{owner}.{text}", owner, start, end, {}, fields)
             return True
         return self.field_or_method(owner, simple, notes, mods, begin, fields)
 
-    def declare(self, kind: str, id_: str, owner: str, name: str, notes: list[str], mods: list[str], a: int, b: int, argc: int = -1) -> None:
+    def declare(self, kind: str, id_: str, owner: str, name: str, notes: list[str], mods: list[str], a: int, b: int, argc: int = -1, params: str | None = None) -> None:
         last = self.t[min(b, len(self.t)) - 1][2]
-        self.fact("decl", vkind=kind, id=id_, owner=owner, name=name, notes=notes, mods=mods, start=self.line(self.t[a][2]), end=self.line(last), argc=argc, abstract="abstract" in mods or kind == "Interface")
+        self.fact("decl", vkind=kind, id=id_, owner=owner, name=name, notes=notes, mods=mods, start=self.line(self.t[a][2]), end=self.line(last), argc=argc, abstract="abstract" in mods or kind == "Interface", params=params)
         for n in notes:
             self.fact("ref", src=id_, kind="AnnotationUse", type=n)
 
@@ -181,6 +185,7 @@ class _Unit:
                 else:
                     self.i += 1
         ctor = False
+        opened = self.i - 1
         while self.i < len(self.t) and self.peek() != "}":
             here = self.i
             n = len(self.facts)
@@ -189,10 +194,12 @@ class _Unit:
             elif not self.member(fqn, simple, fields):
                 self.i = max(self.i, here + 1)
             ctor |= any(k == "decl" and f["vkind"] == "Constructor" and f["owner"] == fqn for k, f in self.facts[n:])
+        if self.i >= len(self.t) and self.open_at is None:
+            self.open_at = min(opened, len(self.t) - 1)
         self.i += 1
         if not ctor and kind in ("Class", "Enum") and "abstract" not in mods:
             self.declare("Constructor", f"{fqn}.{simple}()", fqn, simple, ["ltm.Generated"], ["public"], begin, begin + 1, 0)
-        self.facts.insert(at, ("decl", dict(vkind=kind, id=fqn, owner=owner if owner != self.package else "", name=simple, notes=notes, mods=mods, start=self.line(self.t[begin][2]), end=self.line(self.t[min(self.i, len(self.t)) - 1][2]), argc=-1, abstract="abstract" in mods or kind == "Interface")))
+        self.facts.insert(at, ("decl", dict(vkind=kind, id=fqn, owner=owner if owner != self.package else "", name=simple, notes=notes, mods=mods, start=self.line(self.t[begin][2]), end=self.line(self.t[min(self.i, len(self.t)) - 1][2]), argc=-1, abstract="abstract" in mods or kind == "Interface", params=None)))
         for n in notes:
             self.fact("ref", src=fqn, kind="AnnotationUse", type=n)
         return True
@@ -222,12 +229,13 @@ class _Unit:
                     if k > start:
                         params.append((start, k))
                     start = k + 1
-            scope, types = {}, []
+            scope, types, whole = {}, [], []
             for s, e in params:
                 while s < e and (self.t[s][0] in _MODIFIERS or self.t[s][0] == "@"):
                     s += 2 if self.t[s][0] == "@" else 1
                 text = re.sub(r"<.*>", "", "".join(x[0] for x in self.t[s : e - 1]))
                 types.append(text)
+                whole.append(re.sub(r"\s+", " ", self.code[self.t[s][2] : self.t[e - 1][2] + len(self.t[e - 1][0])]))
                 scope[self.t[e - 1][0]] = text
             ctor = end_of_type == a and name == simple
             id_ = f"{owner}.{name}({', '.join(types)})"
@@ -236,7 +244,7 @@ class _Unit:
             b = self.i
             e = self.skip("{", "}") if self.peek() == "{" else self.i + 1
             self.i = e
-            self.declare("Constructor" if ctor else "Method", id_, owner, name, notes, mods + ([] if self.t[min(b, len(self.t) - 1)][0] == "{" else ["abstract"]), begin, e, len(types))
+            self.declare("Constructor" if ctor else "Method", id_, owner, name, notes, mods + ([] if self.t[min(b, len(self.t) - 1)][0] == "{" else ["abstract"]), begin, e, len(types), ", ".join(whole))
             if not ctor:
                 for n in self.type_names(a, end_of_type):
                     self.fact("ref", src=id_, kind="ReturnType", type=n)
@@ -268,6 +276,32 @@ class _Unit:
             name = self.peek()
             self.i += 1
 
+    def arguments(self, at: int) -> int:
+        """Number of arguments in the parentheses that open at a token position."""
+        depth, commas, j = 0, 0, at
+        while j < len(self.t):
+            y = self.t[j][0]
+            depth += (y in "({[") - (y in ")}]") if y in ("(", "{", "[", ")", "}", "]") else 0
+            if depth == 0:
+                break
+            commas += y == "," and depth == 1
+            j += 1
+        return 0 if j == at + 1 else commas + 1
+
+    def reference(self, src: str, owner: str, left: str, name: str, scope: dict[str, str], fields: set[str], k: int) -> None:
+        """A method reference is a call with any number of arguments."""
+        chained = k >= 2 and self.t[k - 2][0] == "."
+        if name == "new":
+            self.fact("call", src=src, owner=owner, recv=left, how="new", name=left, argc=-1, text="::")
+        elif left in ("this", "super"):
+            self.fact("call", src=src, owner=owner, recv=left, how="self" if left == "this" else "super", name=name, argc=-1, text="::")
+        elif left in scope and not chained:
+            self.fact("call", src=src, owner=owner, recv=scope[left], how="scoped", name=name, argc=-1, text="::")
+        elif left in fields and not chained:
+            self.fact("call", src=src, owner=owner, recv=left, how="field", name=name, argc=-1, text="::")
+        elif left[:1].isupper():
+            self.fact("call", src=src, owner=owner, recv=left, how="type", name=name, argc=-1, text="::")
+
     def body(self, src: str, owner: str, a: int, b: int, scope: dict[str, str], fields: set[str]) -> None:
         """Calls, uses and local types between two token positions."""
         scope = dict(scope)
@@ -276,17 +310,16 @@ class _Unit:
             x, kind, _ = self.t[k]
             nxt = self.t[k + 1][0] if k + 1 < len(self.t) else ""
             prev = self.t[k - 1][0] if k else ""
-            if kind == 2 and x not in _WORDS and x not in _MODIFIERS:
+            if x == "->" and kind == 4 and k and self.t[k - 1][1] == 2:
+                scope.pop(self.t[k - 1][0], None)  # the parameter of a lambda has no declared type
+            elif x == "::" and k + 1 < len(self.t):
+                self.reference(src, owner, prev, nxt, scope, fields, k)
+            elif x in ("this", "super") and nxt == "(":
+                argc = self.arguments(k + 1)
+                self.fact("call", src=src, owner=owner, recv="", how=f"{x}_new", name=owner.rsplit(".", 1)[-1], argc=argc, text=x)
+            elif kind == 2 and x not in _WORDS and x not in _MODIFIERS:
                 if nxt == "(" :
-                    depth, commas, j = 0, 0, k + 1
-                    while j < len(self.t):
-                        y = self.t[j][0]
-                        depth += (y in "({[") - (y in ")}]") if y in ("(", "{", "[", ")", "}", "]") else 0
-                        if depth == 0:
-                            break
-                        commas += y == "," and depth == 1
-                        j += 1
-                    argc = 0 if j == k + 2 else commas + 1
+                    argc = self.arguments(k + 1)
                     if prev == "new":
                         self.fact("call", src=src, owner=owner, recv=x, how="new", name=x, argc=argc, text=x)
                     elif prev == ".":
@@ -310,12 +343,14 @@ class _Unit:
 
 
 def facts(code: str) -> tuple[str, list[tuple]]:
-    """(package, facts) of one source."""
+    """(package, facts) of one source; one that does not hold together has a fact ``broken`` with its line."""
     u = _Unit(code)
     try:
         u.unit()
     except (IndexError, RecursionError):
-        pass
+        u.open_at = min(u.i, len(u.t) - 1) if u.open_at is None else u.open_at
+    if u.open_at is not None and u.t:
+        u.fact("broken", line=u.line(u.t[u.open_at][2]))
     return u.package, u.facts
 
 
@@ -325,8 +360,8 @@ _FACT = (
 )
 
 
-def facts_of(files: DataFrame) -> DataFrame:
-    """Facts of every Java file (file_id, repo, code) as rows."""
+def facts_of(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Facts of every Java file (file_id, repo, code) as rows. With ``mode`` FAILFAST a broken file is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.strip().split(" ")[0] for c in _FACT.split(",")]
@@ -336,7 +371,7 @@ def facts_of(files: DataFrame) -> DataFrame:
                 pkg, rows = facts(code)
                 for k, f in rows:
                     if k == "decl":
-                        out.append((i, repo, pkg, k, f["id"], f["owner"], f["vkind"], f["name"], None, f["argc"], f["notes"], f["start"], f["end"], f["abstract"], None))
+                        out.append((i, repo, pkg, k, f["id"], f["owner"], f["vkind"], f["name"], f["params"], f["argc"], f["notes"], f["start"], f["end"], f["abstract"], "static" in f["mods"]))
                     elif k == "import":
                         out.append((i, repo, pkg, k, None, None, None, f["name"], None, None, None, None, None, None, f["static"]))
                     elif k == "parent":
@@ -349,6 +384,10 @@ def facts_of(files: DataFrame) -> DataFrame:
                         out.append((i, repo, pkg, k, f["src"], f["owner"], None, f["name"], None, None, None, None, None, f["qualified"], f["define"]))
                     elif k == "field":
                         out.append((i, repo, pkg, k, f["id"], f["owner"], None, f["name"], f["type"], None, None, None, None, None, None))
+                    elif k == "broken":
+                        if mode == "FAILFAST":
+                            raise ValueError(f"file {i} breaks at line {f['line']}")
+                        out.append((i, repo, pkg, k, None, None, None, None, None, None, None, f["line"], None, None, None))
                     elif k == "constant":
                         out.append((i, repo, pkg, k, None, f["owner"], None, f["name"], None, None, None, None, None, None, None))
             yield pd.DataFrame(out, columns=cols).astype({"repo": "Int32", "argc": "Int32", "start": "Int32", "end": "Int32", "abstract": "boolean", "flag": "boolean"})
@@ -356,9 +395,65 @@ def facts_of(files: DataFrame) -> DataFrame:
     return files.where(F.col("code").isNotNull()).select("file_id", "repo", "code").mapInPandas(run, _FACT)
 
 
+#: Annotations that make accessors.
+GETTERS, SETTERS = ("Getter", "Data", "Value"), ("Setter", "Data")
+
+
+def marked(annotations: Column) -> Column:
+    """Annotations with a copy under a name of its own of each that a tool would expand."""
+    copies = F.transform(F.filter(annotations, lambda a: F.substring_index(a, ".", -1).isin(*GETTERS, *SETTERS)), lambda a: F.concat(F.lit("ltm.lombok."), F.substring_index(a, ".", -1)))
+    return F.concat(annotations, copies)
+
+
+def restored(annotations: Column) -> Column:
+    """The copies back under their names, once each."""
+    return F.array_distinct(F.transform(annotations, lambda a: F.regexp_replace(a, r"^ltm\.lombok\.", "")))
+
+
+def accessors_of(v: DataFrame) -> DataFrame:
+    """Methods that annotations of a class or field stand for, marked as generated: like ``vertices_of``."""
+
+    def has(names: tuple[str, ...], col: str) -> Column:
+        return F.exists(F.coalesce(col, F.array().cast("array<string>")), lambda a: F.substring_index(a, ".", -1).isin(*names))
+
+    types = v.where(F.col("kind") == "Class").select("repo", F.col("id").alias("owner_id"), F.col("annotations").alias("on_class"))
+    fields = v.where("kind = 'Field' and not coalesce(is_static, false)").join(types, ["repo", "owner_id"])
+    cap = F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substr(name, 2)"))
+    kind = F.trim(F.regexp_replace(F.regexp_replace(F.expr("substr(id, length(owner_id) + 2)"), r"<.*>", ""), r"\s+\S+$", ""))
+    get = fields.where(has(GETTERS, "annotations") | has(GETTERS, "on_class")).withColumns({"name": F.concat(F.when(kind == "boolean", "is").otherwise("get"), cap), "sig": F.lit(""), "argc": F.lit(0)})
+    put = fields.where(has(SETTERS, "annotations") | has(SETTERS, "on_class")).withColumns({"sig": kind, "name": F.concat(F.lit("set"), cap), "argc": F.lit(1)})
+    both = get.unionByName(put)
+    made = both.withColumns({"id": F.concat("owner_id", F.lit("."), "name", F.lit("("), "sig", F.lit(")")), "kind": F.lit("Method"), "annotations": F.array(F.lit("lombok.Generated")), "is_abstract": F.lit(False), "params": F.lit(None).cast("string")})
+    return made.select(*v.columns).join(v.select("repo", "id"), ["repo", "id"], "left_anti").dropDuplicates(["repo", "id"]).select(*v.columns)
+
+
+def methods_of(f: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, method_signature, method_code, class_name, start_line, end_line) of declared methods and constructors:
+    ``Class.name( T a, U b )`` with type arguments, a constructor's name being <init>; the code by its lines."""
+    d = f.where("fact = 'decl' and kind in ('Method', 'Constructor') and argc >= 0 and not array_contains(notes, 'ltm.Generated')")
+    name = F.when(F.col("kind") == "Constructor", "<init>").otherwise(F.col("name"))
+    sig = F.concat("owner", F.lit("."), name, F.lit("( "), F.coalesce("type", F.lit("")), F.lit(" )"))
+    lines = files.select("file_id", F.split("code", r"\r\n|\r|\n").alias("l"))
+    got = d.select("file_id", sig.alias("method_signature"), F.col("owner").alias("class_name"), F.col("start").alias("start_line"), F.col("end").alias("end_line")).distinct()
+    return got.join(lines, "file_id").select("file_id", "method_signature", F.array_join(F.slice("l", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n").alias("method_code"), "class_name", "start_line", "end_line")
+
+
+def unresolved(f: DataFrame, v: DataFrame) -> DataFrame:
+    """(repo, type, files): names of types in the sources that no class of the repository answers to."""
+    asked = f.where("fact in ('parent', 'ref', 'field') and type is not null and type <> ''").select("repo", "file_id", "pkg", "type").distinct()
+    known = resolve(asked, f, v)
+    return asked.join(known.select("repo", "file_id", "type"), ["repo", "file_id", "type"], "left_anti").groupBy("repo", "type").agg(F.count_distinct("file_id").alias("files"))
+
+
 def vertices_of(f: DataFrame) -> DataFrame:
+    """(repo, id, kind, …) of all declarations, with the accessors that annotations stand for."""
+    v = declared(f)
+    return v.unionByName(accessors_of(v)).drop("is_static")
+
+
+def declared(f: DataFrame) -> DataFrame:
     d = f.where("fact = 'decl'")
-    return d.select("repo", F.col("src").alias("id"), "kind", "name", F.when(F.col("owner") != "", F.col("owner")).alias("owner_id"), "argc", F.col("abstract").alias("is_abstract"), F.col("notes").alias("annotations"), "file_id", "start", "end").dropDuplicates(["repo", "id"])
+    return d.select("repo", F.col("src").alias("id"), "kind", "name", F.when(F.col("owner") != "", F.col("owner")).alias("owner_id"), "argc", F.col("abstract").alias("is_abstract"), F.col("notes").alias("annotations"), F.col("type").alias("params"), F.col("flag").alias("is_static"), "file_id", "start", "end").dropDuplicates(["repo", "id"])
 
 
 def resolve(names: DataFrame, f: DataFrame, v: DataFrame) -> DataFrame:
@@ -424,12 +519,16 @@ def arcs_of(f: DataFrame, v: DataFrame) -> DataFrame:
     selfs = call.where("kind in ('self', 'super')").withColumn("class_id", F.col("owner"))
     field_type = f.where("fact = 'field'").join(known, ["repo", "file_id", "type"]).select("repo", "owner", F.col("name").alias("recv"), "class_id").distinct()
     by_field = call.where("kind = 'field'").join(field_type, ["repo", "owner", "recv"])
+    again = call.where("kind = 'this_new'").withColumn("class_id", F.col("owner"))
+    above = call.where("kind = 'super_new'").join(parents.where("kind = 'Extends'").select("repo", F.col("child").alias("owner"), F.col("parent").alias("class_id")), ["repo", "owner"])
+    above = above.withColumn("name", F.substring_index("class_id", ".", -1))
+    selfs = selfs.unionByName(again).unionByName(above.select(*again.columns))
     cols = ["repo", "src", "kind", "name", "argc", "class_id"]
     sited = cut(typed.select(*cols).unionByName(selfs.select(*cols)).unionByName(by_field.select(*cols)).distinct())
     methods = v.where(F.col("kind").isin("Method", "Constructor")).select("repo", F.col("owner_id").alias("o"), F.col("name").alias("name"), F.col("argc").alias("n"), F.col("id").alias("target"), F.col("kind").alias("tkind"))
     up = sub.select("repo", F.col("id").alias("class_id"), F.col("top").alias("o"), "d")
     fits = (F.col("argc") == F.col("n")) | (F.col("argc") < 0)
-    near = sited.join(up, ["repo", "class_id"]).join(methods, ["repo", "o", "name"]).where(fits & ((F.col("kind") == "new") == (F.col("tkind") == "Constructor"))).where("not (kind = 'new' and d > 0)")
+    near = sited.join(up, ["repo", "class_id"]).join(methods, ["repo", "o", "name"]).where(fits & (F.col("kind").isin(*_NEW) == (F.col("tkind") == "Constructor"))).where(~(F.col("kind").isin(*_NEW) & (F.col("d") > 0)))
     near = near.groupBy("repo", "src", "class_id", "kind", "name", "argc").agg(F.min_by("target", F.struct("d", "target")).alias("target"))
     down = sub.where("d > 0").select("repo", F.col("top").alias("class_id"), F.col("id").alias("o"))
     below = sited.where("kind in ('scoped', 'field', 'self')").join(down, ["repo", "class_id"]).join(methods, ["repo", "o", "name"]).where(fits & (F.col("tkind") == "Method"))

@@ -174,6 +174,8 @@ ORACLE = {
     "class_degrees": _DEG + "SELECT repo, id, n_out, n_in FROM d",
     "hub_classes": _DEG + "SELECT repo, id, n_in FROM d ORDER BY n_in DESC, repo, id LIMIT 20",
     "reachable_classes": _REACH + "SELECT repo, id FROM r",
+    # a cyclic graph has no last depth: paths end after 60 arcs, far beyond the depth of these tables
+    "reach_depths": CTE + ", r AS (SELECT repo, id, 0 AS d FROM ent UNION SELECT e.repo, e.dst, r.d + 1 FROM r JOIN e ON e.repo = r.repo AND e.src = r.id WHERE r.d < 60), l AS (SELECT repo, id, min(d) AS depth FROM r GROUP BY ALL) SELECT repo, depth, count(*) AS n FROM l GROUP BY ALL",
     "slice_members": CTE
     + """, acts AS (SELECT repo, id, CASE WHEN kind = 'Class' THEN 'M' ELSE 'T' END AS role, kind FROM v UNION ALL SELECT DISTINCT repo, owner_id, 'T', 'Class' FROM v WHERE owner_id IS NOT NULL),
 typed AS (SELECT e.repo, e.src, e.dst, s.role AS s_role, s.kind AS s_kind, v.kind AS d_kind FROM e JOIN v ON v.repo = e.repo AND v.id = e.dst JOIN acts s ON s.repo = e.repo AND s.id = e.src),

@@ -37,5 +37,26 @@ def java_slices(spark, sf_dir):
     return a.join(used.groupBy("repo").agg(F.count(F.lit(1)).alias("arcs")), "repo", "left")
 
 
-QUERIES = {f.__name__: f for f in (java_declarations, java_arcs, java_slices)}
+def java_methods(spark, sf_dir):
+    """Declared methods with their signatures and lines."""
+    f = table(spark, sf_dir, "code_file").where("file_code is not null and lower(file_path) like '%.java'").dropDuplicates(["file_id"]).select("file_id", "repo", F.col("file_code").alias("code"))
+    return js.methods_of(cut(js.facts_of(f)), f).select("file_id", "method_signature", "class_name", "start_line", "end_line", F.md5("method_code").alias("code_md5"))
+
+
+def java_statistics(spark, sf_dir):
+    """Type declarations, callables and fields of every repository, and files that do not hold together."""
+    f = cut(_facts(spark, sf_dir))
+    d = f.where("fact = 'decl' and not array_contains(notes, 'ltm.Generated')")
+    n = d.groupBy("repo").agg(F.count_if(F.col("kind").isin("Class", "Interface", "Enum", "Annotation")).alias("noc"), F.count_if(F.col("kind").isin("Method", "Constructor")).alias("nom"), F.count_if(F.col("kind") == "Field").alias("nof"))
+    bad = f.where("fact = 'broken'").groupBy("repo").agg(F.count_distinct("file_id").alias("broken"))
+    return n.join(bad, "repo", "left").na.fill(0, ["broken"])
+
+
+def java_unresolved(spark, sf_dir):
+    """Names of types that no class of the repository answers to."""
+    f = cut(_facts(spark, sf_dir))
+    return js.unresolved(f, js.vertices_of(f))
+
+
+QUERIES = {f.__name__: f for f in (java_declarations, java_arcs, java_slices, java_methods, java_statistics, java_unresolved)}
 ORACLE: dict[str, str] = {}
