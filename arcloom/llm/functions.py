@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcloom.llm.syntax import extension
-from arcloom.tables import cut, table
+from arcloom.tables import table
 
 _TOKEN = (
     r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n\r]*+"
@@ -70,6 +70,8 @@ def functions_of(df: DataFrame, key: str, code: str) -> DataFrame:
         F.coalesce(F.sum(paren).over(before), F.lit(0)).alias("inside"),
         F.last(F.when(~comment, tok), ignorenulls=True).over(before).alias("prev"),
     )
+    # what stands in parentheses has counted by now; only its braces matter further
+    t = t.where((F.col("inside") <= 0) | F.col("tok").isin("{", "}"))
     ends = F.col("tok").isin("{", "}", ";") & (F.col("inside") <= 0)
     named = (tok == "(") & (F.col("inside") <= 0) & F.col("prev").rlike(r"^[A-Za-z_$]")
     t = t.select(
@@ -81,8 +83,6 @@ def functions_of(df: DataFrame, key: str, code: str) -> DataFrame:
     )
     # a parenthesis after @Name belongs to an annotation; after new or a dot it is a call
     t = t.withColumn("named", F.col("named") & ~F.coalesce(F.col("prev2").isin("@", ".", "new"), F.lit(False)) & ~F.col("prev").isin(*_NOT_NAMES))
-    # three aggregations look at the marked tokens: they are kept, not made three times
-    t = cut(t.select("key", "pos", "tok", "comment", "level", "inside", "ends", "island", "named", F.when(F.col("named"), F.col("prev")).alias("prev")))
     level = F.when(tok == "}", F.col("level") - 1).otherwise(F.col("level"))
     same = Window.partitionBy("key", "lv").orderBy("pos")
     isle = t.groupBy("key", "island").agg(
