@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
@@ -37,11 +41,57 @@ def fenced(text: Column, language: str = "json") -> Column:
     return F.when(got != "", F.trim(got))
 
 
+def balanced(text: str | None) -> str | None:
+    """The first balanced object of a reply, braces in strings aside; what is left from its brace if it does not end; null without one."""
+    start = (text or "").find("{")
+    if start < 0:
+        return None
+    depth, quoted, i = 0, False, start
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            i += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return text[start : i + 1]
+        i += 1
+    return text[start:].strip()
+
+
+def bullets(value) -> str:
+    """Any JSON value as text: entries as lines ``- key: text``, items of lists as lines ``- text``."""
+    if value is None:
+        return ""
+    if isinstance(value, dict):
+        pairs = ((str(k).strip(), bullets(v)) for k, v in value.items())
+        return "\n".join("- " + ": ".join(x for x in kv if x) for kv in pairs if any(kv))
+    if isinstance(value, list):
+        rows = (row.strip() for item in value for row in bullets(item).splitlines())
+        return "\n".join(row if row.startswith("- ") else f"- {row}" for row in rows if row)
+    return str(value).strip()
+
+
+def _bullets_of(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return bullets(json.loads(text))
+    except ValueError:
+        return text.strip()
+
+
 def first_object(text: Column) -> Column:
-    """A JSON object in a reply: fences taken off, from the first brace to the last; null without one."""
-    plain = F.regexp_replace(text, r"```(?:json)?", "")
-    got = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    return F.when(got != "", got)
+    """The first balanced JSON object of a reply; null without one."""
+    return pandas_udf(lambda s: s.map(balanced, na_action="ignore"), StringType())(text)
+
+
+def bullet_text(text: Column) -> Column:
+    """JSON text as bullet lines; other text as it is."""
+    return pandas_udf(lambda s: s.map(_bullets_of, na_action="ignore"), StringType())(text)
 
 
 def usecase(text: Column) -> Column:
@@ -50,9 +100,19 @@ def usecase(text: Column) -> Column:
     return F.struct(*[F.coalesce(got[k], F.lit("")).alias(k) for k in ("description", "flow", "notf")])
 
 
+def needed_files(text: Column) -> Column:
+    """A reply's answer whether more files are needed, and which (filename, recommendReason)."""
+    files = "array<struct<filename:string,recommendReason:string>>"
+    got = F.from_json(fenced(text), f"needAdditionalFile boolean, additionalFileList {files}")
+    return F.struct(F.coalesce(got["needAdditionalFile"], F.lit(False)).alias("need"), F.coalesce(got["additionalFileList"], F.array().cast(files)).alias("files"))
+
+
 def file_plans(text: Column) -> Column:
-    """A reply's list of (filename, plan, note)."""
-    return F.coalesce(F.from_json(fenced(text), "array<struct<filename:string,plan:string,note:string>>"), F.array().cast("array<struct<filename:string,plan:string,note:string>>"))
+    """A reply's list of (filename, plan, note), by itself or under ``modifiedFileList``."""
+    plans = "array<struct<filename:string,plan:string,note:string>>"
+    block = fenced(text)
+    inside = F.from_json(block, f"modifiedFileList {plans}")["modifiedFileList"]
+    return F.coalesce(F.when(block.startswith("["), F.from_json(block, plans)), inside, F.array().cast(plans))
 
 
 def chunk_content(line: Column) -> Column:

@@ -79,6 +79,13 @@ def assembled_code(spark, sf_dir):
     return diff.assembled(one, ["file_id"], "at", "func_code").select("file_id", F.md5("code").alias("code_md5"), F.length("code").cast("long").alias("chars"))
 
 
+def rewritten_files(spark, sf_dir):
+    """Every Java file with functions written anew from its package, its imports and its functions."""
+    body = diff.assembled(table(spark, sf_dir, "code_function").where("func_code is not null").dropDuplicates(["func_id"]).select("file_id", F.struct("start_line", "func_id").alias("at"), "func_code"), ["file_id"], "at", "func_code")
+    j = java_files(spark, sf_dir).select("file_id", "pkg", texts.import_lines(F.col("code")).alias("imports")).join(body, "file_id")
+    return j.select("file_id", F.md5(diff.rewritten(F.col("pkg"), F.col("imports"), F.col("code"))).alias("code_md5"))
+
+
 def file_versions(spark, sf_dir):
     """Files of the same name and folder in several repositories: whether each differs from the first one."""
     pair = same_files(spark, sf_dir)
@@ -121,7 +128,7 @@ def module_labels(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        loc_by_file, repo_statistics, import_edges, resolved_files, name_links, comment_contexts, assembled_code, file_versions, file_diffs, event_payloads, encoded_descriptions, module_labels,
+        loc_by_file, repo_statistics, import_edges, resolved_files, name_links, comment_contexts, assembled_code, rewritten_files, file_versions, file_diffs, event_payloads, encoded_descriptions, module_labels,
     )
 }
 
@@ -157,6 +164,10 @@ WITH l AS (SELECT file_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS li
 fn AS (SELECT DISTINCT file_id, func_id, start_line, end_line FROM code_function WHERE start_line IS NOT NULL)
 SELECT l.file_id, line_no, arg_min(func_id, (end_line - start_line)::BIGINT * 1000000000 + func_id) AS func_id FROM l JOIN fn ON fn.file_id = l.file_id AND line_no BETWEEN start_line AND end_line WHERE starts_with(ltrim(line, ' '), '//') GROUP BY ALL""",
     "assembled_code": "SELECT file_id, md5(c) AS code_md5, length(c) AS chars FROM (SELECT file_id, string_agg(func_code, chr(10) ORDER BY start_line, func_id) AS c FROM (SELECT DISTINCT file_id, func_id, start_line, func_code FROM code_function WHERE func_code IS NOT NULL) GROUP BY file_id)",
+    "rewritten_files": _JAVA
+    + """, b AS (SELECT file_id, string_agg(func_code, chr(10) ORDER BY start_line, func_id) AS c FROM (SELECT DISTINCT file_id, func_id, start_line, func_code FROM code_function WHERE func_code IS NOT NULL) GROUP BY file_id),
+i AS (SELECT file_id, list_filter(list_transform(regexp_split_to_array(code, '\\r\\n|\\r|\\n'), lambda x: trim(x)), lambda x: starts_with(x, 'import ')) AS l FROM j)
+SELECT j.file_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN pkg <> '' THEN 'package ' || pkg || ';' END, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) END, b.c)) AS code_md5 FROM j JOIN b ON b.file_id = j.file_id JOIN i ON i.file_id = j.file_id""",
     "file_versions": _SAME + " SELECT b.file_id, b.first_id, b.file_code <> g.file_code AS differs FROM b JOIN g ON g.file_id = b.first_id WHERE b.file_id <> b.first_id",
     "event_payloads": "SELECT event_type, count(*) AS n, count(json_extract(props, '$.k')::INT) AS with_k, sum(json_extract(props, '$.k')::INT)::BIGINT AS sum_k FROM events GROUP BY event_type",
     "encoded_descriptions": "SELECT DISTINCT id, to_base64(encode(module_desc)) AS b64 FROM modules WHERE module_desc IS NOT NULL",

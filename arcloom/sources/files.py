@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,34 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
     return dense_ids(named, ["path"], "file_id", 0).select("file_id", "path", "name", "dotted", "code")
 
 
+def file_paths(spark: SparkSession, root: str, suffix: str = ".java") -> DataFrame:
+    """(path) of every file below ``root`` that has any content; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Each (path, code) as a file below ``root``, a folder that all executors share. Written again, a file is the same."""
+
+    def run(batches):
+        for b in batches:
+            for path, code in zip(b["path"], b["code"]):
+                at = os.path.normpath(os.path.join(root, path))
+                if not at.startswith(os.path.normpath(root) + os.sep):
+                    raise ValueError(f"{path} leaves the folder")
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "w", encoding="utf-8", newline="") as f:
+                    f.write(code or "")
+            yield b[["path"]]
+
+    files.select("path", "code").where("path is not null").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def paired(uploads: DataFrame, contents: str = "files", paths: str = "paths") -> DataFrame:
+    """(path, content) of uploads that carry two lists in the same order; what has no partner is left out."""
+    both = F.arrays_zip(F.col(contents).alias("content"), F.col(paths).alias("path"))
+    return uploads.select(F.explode(both).alias("x")).select(F.col("x.path").alias("path"), F.col("x.content").alias("content")).where("path is not null and content is not null")
+
+
 def file_content(files: DataFrame, names: DataFrame, missing: str = "file not found") -> DataFrame:
     """Contents by dotted name, with a fixed sentence for those that are missing."""
     return names.join(files.select("dotted", "code"), "dotted", "left").select("dotted", F.coalesce("code", F.lit(missing)).alias("code"))
