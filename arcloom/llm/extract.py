@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import islice
 
 _C = re.compile(
     r"(?<=[=(,:!&|?;{}\[])[ \t]*(/(?![*/ ])(?:[^\\/\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*)"
@@ -19,8 +18,6 @@ _XML = re.compile(r"<!--([\s\S]*?)(?:-->|\Z)")
 _ESCAPE = re.compile(r"\\(?:u+\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|(\r\n|[\s\S]))")
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\n", "b": " ", "f": " ", "0": " "}
 
-#: Marks of the extension's language that settle what the content is.
-ENOUGH = 6
 _LOOKS = {
     "java": re.compile(r"(?m)^\s*(?:package|import)\s+(?:static\s+)?[\w.]+(?:\.\*)?;|\b(?:public|private|protected|final|implements|throws)\b|@Override"),
     "js": re.compile(r"\b(?:const|let|var|function|require|async|typeof|prototype)\b|=>|===|module\.exports|use strict"),
@@ -29,15 +26,13 @@ _LOOKS = {
 
 
 def content_language(code: str, ext: str) -> str:
-    """The language whose syntax the content has; the extension is believed where the content has
-    enough of its marks, and decides between equals."""
+    """The language whose syntax the content has: that with the most marks in the whole text; the
+    extension decides between equals."""
     s = code.lstrip("\ufeff \t\r\n")
     if re.match(r"<(?:[?!][a-zA-Z-]|[a-zA-Z])", s):
         return "xml"
     if re.match(r"[{\[]\s*(?:\"|[\[{\]}]|-?\d|true\b|false\b|null\b|\Z)", s) and not re.search(r"(?m)[;]\s*$", s):
         return "json"
-    if ext in _LOOKS and sum(1 for _ in islice(_LOOKS[ext].finditer(code), ENOUGH)) == ENOUGH:
-        return ext
     score = {k: len(p.findall(code)) for k, p in _LOOKS.items()}
     best = max(score.values())
     if ext in ("json", "xml") and best < 3:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcloom.llm.syntax import extension
-from arcloom.tables import table
+from arcloom.tables import cut, table
 
 _TOKEN = (
     r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n\r]*+"
@@ -83,6 +83,8 @@ def functions_of(df: DataFrame, key: str, code: str) -> DataFrame:
     )
     # a parenthesis after @Name belongs to an annotation; after new or a dot it is a call
     t = t.withColumn("named", F.col("named") & ~F.coalesce(F.col("prev2").isin("@", ".", "new"), F.lit(False)) & ~F.col("prev").isin(*_NOT_NAMES))
+    # three aggregations look at the marked tokens: they are kept, not made three times
+    t = cut(t.select("key", "pos", F.when(F.col("comment") | F.col("tok").rlike(r"^[{};=]|^->|^(?:return|throw|new|else|case|class|interface|enum)$"), F.col("tok")).otherwise(F.substring("tok", 1, 1)).alias("tok"), "comment", "level", "inside", "ends", "island", "named", F.when(F.col("named"), F.col("prev")).alias("prev")))
     level = F.when(tok == "}", F.col("level") - 1).otherwise(F.col("level"))
     same = Window.partitionBy("key", "lv").orderBy("pos")
     isle = t.groupBy("key", "island").agg(

@@ -346,7 +346,7 @@ def foreign(m: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """(file_id, repo, kind): each file that is not hand-written, with what it is."""
+    """(file_id, repo, lang, kind, rules): each file that is not hand-written, with what it is (by the first rule) and all rules that tell."""
     m = cut(measures(files).dropDuplicates(["file_id"]))
     m = m.join(cut(name_entropies(m)), "file_id", "left")
     plain = cut(common(m))
@@ -354,17 +354,21 @@ def judged(files: DataFrame) -> DataFrame:
     far = foreign(m, plain).withColumn("foreign", F.lit(True))
     odd = strange(m, plain).withColumn("strange", F.lit(True))
     both = m.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left").join(odd, "file_id", "left")
-    program = F.col("lang").isin(*_PROGRAM)
-    kind = (
-        F.when(F.coalesce("foreign", F.lit(False)) | (F.col("third_path") & F.col("same_kind")), "vendored")
-        .when(program & (F.col("entropy") >= MANGLED * F.col("typical")) & (F.col("short") >= 0.38) & (F.col("names") >= 12) & F.col("declares"), "minified")
-        .when((F.col("notice") | F.col("tool_path")) & F.col("same_kind"), "generated")
-        .when((program | (F.col("lang") == "xml")) & (F.col("numbered") >= NUMBERED) & F.col("same_kind") & (F.col("declares") | (F.col("lang") == "xml")), "generated")
-        .when((F.col("lang") == "json") & (F.col("literal") >= 0.3) & F.col("same_kind"), "generated")
-        .when(program & (F.col("literal") >= 0.4) & (F.col("names") <= 30) & F.col("declares"), "data")
-        .when(F.col("strange"), "vendored")
-    )
-    return both.select("file_id", "repo", "lang", kind.alias("kind")).where("kind is not null")
+    program, same = F.col("lang").isin(*_PROGRAM), F.col("same_kind")
+    rules = {
+        "copied lines": ("vendored", F.col("foreign")),
+        "third-party folder": ("vendored", F.col("third_path") & same),
+        "mangled names": ("minified", program & (F.col("entropy") >= MANGLED * F.col("typical")) & (F.col("short") >= 0.38) & (F.col("names") >= 12) & F.col("declares")),
+        "notice": ("generated", F.col("notice") & same),
+        "generator's folder": ("generated", F.col("tool_path") & same),
+        "counted names": ("generated", (program | (F.col("lang") == "xml")) & (F.col("numbered") >= NUMBERED) & same & (F.col("declares") | (F.col("lang") == "xml"))),
+        "hashes": ("generated", (F.col("lang") == "json") & (F.col("literal") >= 0.3) & same),
+        "literals": ("data", program & (F.col("literal") >= 0.4) & (F.col("names") <= 30) & F.col("declares")),
+        "foreign names": ("vendored", F.col("strange")),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(k).alias("kind"))) for n, (k, c) in rules.items()]), lambda x: x.isNotNull())
+    got = both.select("file_id", "repo", "lang", found.alias("found")).where(F.size("found") > 0)
+    return got.select("file_id", "repo", "lang", F.element_at("found", 1)["kind"].alias("kind"), F.transform("found", lambda x: x["rule"]).alias("rules"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,5 +380,11 @@ def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "code_file")).groupBy("repo", "lang", "kind").agg(F.count(F.lit(1)).alias("files"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_kinds": p7_kinds}
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each rule finds, and how many it alone."""
+    each = judged(table(spark, sf_dir, "code_file")).select(F.explode("rules").alias("rule"), (F.size("rules") == 1).alias("alone"))
+    return each.groupBy("rule").agg(F.count(F.lit(1)).alias("files"), F.count_if("alone").alias("alone"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_kinds": p7_kinds, "p7_rules": p7_rules}
 ORACLE: dict[str, str] = {}
