@@ -82,9 +82,9 @@ def coassociated(spark, sf_dir):
     return c.coassociation(r, r.where("id % 100 = 0"), 3).select("i", "j", F.round("freq", 6).alias("freq"))
 
 
-def _graded_runs(spark, sf_dir):
+def _graded_runs(spark, sf_dir, w):
     """Three clusterings of the queries' neighbourhood for each of five resolutions: the labels split into 1..5 parts each, by a shifted remainder."""
-    v = _vectors(spark, sf_dir).join(fused_weights(spark, sf_dir).select(F.col("i").alias("vec_id")).distinct(), "vec_id")
+    v = _vectors(spark, sf_dir).join(w.select(F.col("i").alias("vec_id")).distinct(), "vec_id")
     v = v.select(F.col("vec_id").alias("id"), "label", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("gamma")).select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seed"))
     part = F.col("label") * 10 + (F.col("id") + F.floor(F.col("id") * F.col("seed") / 3)) % F.col("gamma")
     return v.select(F.lit(1).alias("g"), "gamma", "seed", "id", part.cast("long").alias("label"))
@@ -92,27 +92,29 @@ def _graded_runs(spark, sf_dir):
 
 def resolution_statistics(spark, sf_dir):
     """What the clusterings of each resolution are like on the fused weights: means over the seeds, the stability between them."""
-    t = res.run_statistics(_graded_runs(spark, sf_dir), fused_weights(spark, sf_dir), ["g"])
+    w = cut(fused_weights(spark, sf_dir))
+    t = res.run_statistics(cut(_graded_runs(spark, sf_dir, w)), w, ["g"])
     names = ("mean_ari", "mean_sep", "mean_density_std", "mean_clusters", "median_clusters", "mean_singletons", "mean_tiny", "mean_size_cv")
     return t.select("gamma", "nodes", *[F.round(x, 6).alias(x) for x in names])
 
 
 def resolution_scores(spark, sf_dir):
     """The score of each resolution, and which is the best."""
-    t = res.scored(res.run_statistics(_graded_runs(spark, sf_dir), fused_weights(spark, sf_dir), ["g"]), ["g"], 3, 0.15)
+    w = cut(fused_weights(spark, sf_dir))
+    t = res.scored(res.run_statistics(cut(_graded_runs(spark, sf_dir, w)), w, ["g"]), ["g"], 3, 0.15)
     return t.select("gamma", F.round("score", 6).alias("score"), "best")
 
 
 def weighted_densities(spark, sf_dir):
     """Densities of the labels on the fused weights."""
-    w = fused_weights(spark, sf_dir)
+    w = cut(fused_weights(spark, sf_dir))
     labels = _vectors(spark, sf_dir).join(w.select(F.col("i").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("id"), "label")
     return c.weight_densities(w, labels, []).select("label", "n", F.round("intra", 9).alias("intra"), F.round("inter", 9).alias("inter"))
 
 
 def silhouettes(spark, sf_dir):
     """Mean silhouette of the labels, by distances 1 - fused weight (pairs without a weight are at distance 1)."""
-    w = fused_weights(spark, sf_dir)
+    w = cut(fused_weights(spark, sf_dir))
     labels = _vectors(spark, sf_dir).join(w.select(F.col("i").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("id"), "label")
     return c.silhouette(w, labels, []).select(F.round("silhouette", 6).alias("silhouette"))
 
