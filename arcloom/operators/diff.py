@@ -32,6 +32,13 @@ def apply_diff(text: str) -> str:
     return "\n".join(x[1:] for x in rows if x[:1] in (" ", "+"))
 
 
+def new_side(diff: Column) -> Column:
+    """The text a full-context diff leads to: its lines after the three of the head, those taken out left out."""
+    lines = F.split(diff, "\n")
+    kept = F.filter(F.slice(lines, F.lit(4), F.greatest(F.size(lines) - 3, F.lit(0))), lambda x: x.startswith(" ") | x.startswith("+"))
+    return F.array_join(F.transform(kept, lambda x: F.substring(x, 2, 2147483647)), "\n")
+
+
 def differs(old: Column, new: Column) -> Column:
     return ~F.coalesce(old, F.lit("")).eqNullSafe(F.coalesce(new, F.lit("")))
 

@@ -93,9 +93,10 @@ def file_versions(spark, sf_dir):
 
 
 def file_diffs(spark, sf_dir):
-    """The unified diffs of those that differ."""
+    """The unified diffs of those that differ: what each gives when applied, line ends being equal."""
     pair = same_files(spark, sf_dir).where(diff.differs(F.col("first_code"), F.col("code")))
-    return pair.select("file_id", "first_id", diff.unified_diff("first_code", "code", "file_name").alias("diff"))
+    d = pair.select("file_id", "first_id", diff.unified_diff("first_code", "code", "file_name").alias("diff"))
+    return d.select("file_id", "first_id", F.md5(diff.new_side(F.col("diff"))).alias("applied_md5"))
 
 
 def same_files(spark, sf_dir):
@@ -169,6 +170,10 @@ SELECT l.file_id, line_no, arg_min(func_id, (end_line - start_line)::BIGINT * 10
 i AS (SELECT file_id, list_filter(list_transform(regexp_split_to_array(code, '\\r\\n|\\r|\\n'), lambda x: trim(x)), lambda x: starts_with(x, 'import ')) AS l FROM j)
 SELECT j.file_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN pkg <> '' THEN 'package ' || pkg || ';' END, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) END, b.c)) AS code_md5 FROM j JOIN b ON b.file_id = j.file_id JOIN i ON i.file_id = j.file_id""",
     "file_versions": _SAME + " SELECT b.file_id, b.first_id, b.file_code <> g.file_code AS differs FROM b JOIN g ON g.file_id = b.first_id WHERE b.file_id <> b.first_id",
+    # texts whose lines are the same but for their ends give a diff without changes, of the first one's lines
+    "file_diffs": _SAME
+    + """, n AS (SELECT b.file_id, b.first_id, regexp_replace(regexp_replace(b.file_code, '\\r\\n|\\r', chr(10), 'g'), '\\n\\z', '') AS c, b.file_code <> g.file_code AS d FROM b JOIN g ON g.file_id = b.first_id WHERE b.file_id <> b.first_id)
+SELECT file_id, first_id, md5(c) AS applied_md5 FROM n WHERE d""",
     "event_payloads": "SELECT event_type, count(*) AS n, count(json_extract(props, '$.k')::INT) AS with_k, sum(json_extract(props, '$.k')::INT)::BIGINT AS sum_k FROM events GROUP BY event_type",
     "encoded_descriptions": "SELECT DISTINCT id, to_base64(encode(module_desc)) AS b64 FROM modules WHERE module_desc IS NOT NULL",
     "module_labels": "SELECT id, label, row_number() OVER (PARTITION BY repo ORDER BY id) AS place FROM (SELECT id, repo, arg_max(module_desc, loaded_at) AS label FROM modules WHERE repo IS NOT NULL GROUP BY id, repo)",

@@ -97,11 +97,10 @@ def code_without_feature_kept(spark, sf_dir):
 
 
 def delete_diffs(spark, sf_dir):
-    """Unified diffs of those files with all lines as context; what they give when applied is what is left."""
+    """Unified diffs of those files with all lines as context: lines taken out, and what the diff gives when applied."""
     got = views.member_code(_members(spark, sf_dir), _owners(spark, sf_dir), "feature", keep_unbound=True)
-    d = got.select("feature", F.col("top").alias("file_id"), diff.unified_diff("origin", "rest", F.col("top").cast("string")).alias("diff"), F.col("rest"))
-    lines = F.split("diff", "\n")
-    return d.select("feature", "file_id", "diff", F.size(F.filter(lines, lambda x: x.rlike(r"^-(?!--)"))).cast("long").alias("removed"), F.size(F.filter(lines, lambda x: x.rlike(r"^\+(?!\+\+)"))).cast("long").alias("added"))
+    d = got.select("feature", F.col("top").alias("file_id"), diff.unified_diff("origin", "rest", F.col("top").cast("string")).alias("diff"))
+    return d.select("feature", "file_id", F.md5(diff.new_side(F.col("diff"))).alias("applied_md5"))
 
 
 def context_views(spark, sf_dir):
@@ -265,6 +264,7 @@ SELECT feature, count(*) FILTER (WHERE owned) AS gone, count(*) FILTER (WHERE NO
     "code_without_feature_kept": _LEFT
     + """ SELECT feature, file_id, md5(coalesce(string_agg(func_code, chr(10) ORDER BY start_line, func_id) FILTER (WHERE NOT gone2), '')) AS rest_md5, count(*) AS members,
   count(*) FILTER (WHERE NOT gone2) AS left, bool_or(gone2) AS differs FROM kept GROUP BY feature, file_id""",
+    "delete_diffs": _LEFT + " SELECT feature, file_id, md5(rtrim(coalesce(string_agg(func_code, chr(10) ORDER BY start_line, func_id) FILTER (WHERE NOT gone2), ''), chr(10))) AS applied_md5 FROM kept GROUP BY feature, file_id",
     "context_views": _LEFT
     + """, c AS (SELECT file_id, string_agg(func_code, chr(10) ORDER BY start_line, func_id) AS code FROM fn GROUP BY file_id),
 n AS (SELECT file_id, rtrim(code, chr(10)) AS code, len(string_split(rtrim(code, chr(10)), chr(10))) AS n FROM c)
