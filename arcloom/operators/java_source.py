@@ -276,31 +276,47 @@ class _Unit:
             name = self.peek()
             self.i += 1
 
-    def arguments(self, at: int) -> int:
-        """Number of arguments in the parentheses that open at a token position."""
-        depth, commas, j = 0, 0, at
+    def arguments(self, at: int, scope: dict[str, str]) -> list[str]:
+        """What the types of the arguments in the parentheses that open at a token position seem to be; ? where nothing tells."""
+        depth, begin, j, parts = 0, at + 1, at, []
         while j < len(self.t):
             y = self.t[j][0]
             depth += (y in "({[") - (y in ")}]") if y in ("(", "{", "[", ")", "}", "]") else 0
+            if depth == 0 or (y == "," and depth == 1):
+                if j > begin or y == ",":
+                    parts.append((begin, j))
+                begin = j + 1
             if depth == 0:
                 break
-            commas += y == "," and depth == 1
             j += 1
-        return 0 if j == at + 1 else commas + 1
+        return [self.type_of(a, b, scope) for a, b in parts]
+
+    def type_of(self, a: int, b: int, scope: dict[str, str]) -> str:
+        """The type an expression between two token positions seems to have."""
+        x, kind, _ = self.t[a] if a < b else ("", 0, 0)
+        if x == "new" and a + 1 < b:
+            return self.t[a + 1][0]
+        if b - a != 1:
+            return "?"
+        if kind == 1:
+            return "char" if x[0] == "'" else "String"
+        if kind == 3:
+            return "long" if x[-1] in "lL" else "float" if x[-1] in "fF" and not x.startswith("0x") else "double" if "." in x or x[-1] in "dD" else "int"
+        return "boolean" if x in ("true", "false") else scope.get(x) or "?"
 
     def reference(self, src: str, owner: str, left: str, name: str, scope: dict[str, str], fields: set[str], k: int) -> None:
         """A method reference is a call with any number of arguments."""
         chained = k >= 2 and self.t[k - 2][0] == "."
         if name == "new":
-            self.fact("call", src=src, owner=owner, recv=left, how="new", name=left, argc=-1, text="::")
+            self.fact("call", src=src, owner=owner, recv=left, how="new", name=left, args=None)
         elif left in ("this", "super"):
-            self.fact("call", src=src, owner=owner, recv=left, how="self" if left == "this" else "super", name=name, argc=-1, text="::")
+            self.fact("call", src=src, owner=owner, recv=left, how="self" if left == "this" else "super", name=name, args=None)
         elif left in scope and not chained:
-            self.fact("call", src=src, owner=owner, recv=scope[left], how="scoped", name=name, argc=-1, text="::")
+            self.fact("call", src=src, owner=owner, recv=scope[left], how="scoped", name=name, args=None)
         elif left in fields and not chained:
-            self.fact("call", src=src, owner=owner, recv=left, how="field", name=name, argc=-1, text="::")
+            self.fact("call", src=src, owner=owner, recv=left, how="field", name=name, args=None)
         elif left[:1].isupper():
-            self.fact("call", src=src, owner=owner, recv=left, how="type", name=name, argc=-1, text="::")
+            self.fact("call", src=src, owner=owner, recv=left, how="type", name=name, args=None)
 
     def body(self, src: str, owner: str, a: int, b: int, scope: dict[str, str], fields: set[str]) -> None:
         """Calls, uses and local types between two token positions."""
@@ -315,26 +331,25 @@ class _Unit:
             elif x == "::" and k + 1 < len(self.t):
                 self.reference(src, owner, prev, nxt, scope, fields, k)
             elif x in ("this", "super") and nxt == "(":
-                argc = self.arguments(k + 1)
-                self.fact("call", src=src, owner=owner, recv="", how=f"{x}_new", name=owner.rsplit(".", 1)[-1], argc=argc, text=x)
+                self.fact("call", src=src, owner=owner, recv="", how=f"{x}_new", name=owner.rsplit(".", 1)[-1], args=self.arguments(k + 1, scope))
             elif kind == 2 and x not in _WORDS and x not in _MODIFIERS:
                 if nxt == "(" :
-                    argc = self.arguments(k + 1)
+                    args = self.arguments(k + 1, scope)
                     if prev == "new":
-                        self.fact("call", src=src, owner=owner, recv=x, how="new", name=x, argc=argc, text=x)
+                        self.fact("call", src=src, owner=owner, recv=x, how="new", name=x, args=args)
                     elif prev == ".":
                         q = self.t[k - 2][0] if k >= 2 else ""
                         chained = k >= 3 and self.t[k - 3][0] == "."
                         recv = scope.get(q, "") if not chained else ""
                         how = "self" if q == "this" else "super" if q == "super" else "type" if q[:1].isupper() and not chained else "scoped" if recv else "field" if q in fields else "unknown"
-                        self.fact("call", src=src, owner=owner, recv=recv if how == "scoped" else q, how=how, name=x, argc=argc, text=x)
+                        self.fact("call", src=src, owner=owner, recv=recv if how == "scoped" else q, how=how, name=x, args=args)
                     else:
-                        self.fact("call", src=src, owner=owner, recv="", how="self", name=x, argc=argc, text=x)
+                        self.fact("call", src=src, owner=owner, recv="", how="self", name=x, args=args)
                 elif prev != "." and k + 1 < len(self.t) and self.t[k + 1][1] == 2 and nxt not in ("instanceof",) and (x[:1].isupper() or x in _PRIMS):
                     scope[nxt] = x
                     self.fact("ref", src=src, kind="VariableType", type=x)
                 elif prev == "new":
-                    self.fact("call", src=src, owner=owner, recv=x, how="new", name=x, argc=-1, text=x)
+                    self.fact("call", src=src, owner=owner, recv=x, how="new", name=x, args=None)
                 elif x[:1].isupper() and nxt == "." and k + 2 < len(self.t) and self.t[k + 2][1] == 2 and self.t[k + 3 if k + 3 < len(self.t) else k][0] != "(":
                     self.fact("use", src=src, owner=x, name=self.t[k + 2][0], define=False, qualified=True)
                 elif x in fields and x not in scope and (prev != "." or (k >= 2 and self.t[k - 2][0] == "this")):
@@ -379,7 +394,7 @@ def facts_of(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
                     elif k == "ref":
                         out.append((i, repo, pkg, k, f["src"], None, f["kind"], None, f["type"], None, None, None, None, None, None))
                     elif k == "call":
-                        out.append((i, repo, pkg, k, f["src"], f["owner"], f["how"], f["name"], f["recv"], f["argc"], None, None, None, None, None))
+                        out.append((i, repo, pkg, k, f["src"], f["owner"], f["how"], f["name"], f["recv"], -1 if f["args"] is None else len(f["args"]), f["args"], None, None, None, None))
                     elif k == "use":
                         out.append((i, repo, pkg, k, f["src"], f["owner"], None, f["name"], None, None, None, None, None, f["qualified"], f["define"]))
                     elif k == "field":
@@ -473,6 +488,23 @@ def resolve(names: DataFrame, f: DataFrame, v: DataFrame) -> DataFrame:
     return exact.unionByName(named).unionByName(same).unionByName(wide).unionByName(any_).groupBy("repo", "file_id", "type").agg(F.min_by("class_id", F.struct("p", "class_id")).alias("class_id"))
 
 
+#: The boxes of the primitive types.
+BOXES = {"int": "Integer", "long": "Long", "short": "Short", "byte": "Byte", "char": "Character", "boolean": "Boolean", "float": "Float", "double": "Double"}
+
+
+def misfits(args: Column, target: Column) -> Column:
+    """How many arguments have another type than a method's id says: equal names, a box, or a longer name with the same end fit, and what is unknown does."""
+    types = F.split(F.regexp_extract(target, r"\(([^()]*)\)$", 1), r",\s*")
+    box = F.create_map(*[F.lit(x) for pair in BOXES.items() for x in pair])
+
+    def differs(a: Column, t: Column) -> Column:
+        same = (a == "?") | (a == t) | (F.try_element_at(box, a) == t) | (F.try_element_at(box, t) == a) | t.endswith(F.concat(F.lit("."), a)) | a.endswith(F.concat(F.lit("."), t))
+        return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+
+    given = F.coalesce(args, F.array().cast("array<string>"))
+    return F.aggregate(F.zip_with(given, F.slice(types, F.lit(1), F.size(given)), differs), F.lit(0), lambda m, x: m + x)
+
+
 def arcs_of(f: DataFrame, v: DataFrame) -> DataFrame:
     """(repo, src, dst, arc_group, arc_kind): class, reference and call arcs, each once."""
     f, v = cut(f), cut(v)
@@ -514,7 +546,7 @@ def arcs_of(f: DataFrame, v: DataFrame) -> DataFrame:
     other = out.join(fields.withColumnRenamed("owner", "class_id"), ["repo", "class_id", "name"]).where("src <> field")
     parts.append(arc(other, "src", "field", lit("UseReference"), lit("FieldUse")))
     # calls: the receiver's class, then the nearest owner above it and every override below it
-    call = f.where("fact = 'call'").select("repo", "file_id", "src", "owner", "kind", "name", F.col("type").alias("recv"), "argc")
+    call = f.where("fact = 'call'").select("repo", "file_id", "src", "owner", "kind", "name", F.col("type").alias("recv"), "argc", F.col("notes").alias("args"))
     typed = call.where("kind in ('new', 'type', 'scoped')").join(known.withColumnRenamed("type", "recv"), ["repo", "file_id", "recv"])
     selfs = call.where("kind in ('self', 'super')").withColumn("class_id", F.col("owner"))
     field_type = f.where("fact = 'field'").join(known, ["repo", "file_id", "type"]).select("repo", "owner", F.col("name").alias("recv"), "class_id").distinct()
@@ -523,13 +555,14 @@ def arcs_of(f: DataFrame, v: DataFrame) -> DataFrame:
     above = call.where("kind = 'super_new'").join(parents.where("kind = 'Extends'").select("repo", F.col("child").alias("owner"), F.col("parent").alias("class_id")), ["repo", "owner"])
     above = above.withColumn("name", F.substring_index("class_id", ".", -1))
     selfs = selfs.unionByName(again).unionByName(above.select(*again.columns))
-    cols = ["repo", "src", "kind", "name", "argc", "class_id"]
+    cols = ["repo", "src", "kind", "name", "argc", "args", "class_id"]
     sited = cut(typed.select(*cols).unionByName(selfs.select(*cols)).unionByName(by_field.select(*cols)).distinct())
     methods = v.where(F.col("kind").isin("Method", "Constructor")).select("repo", F.col("owner_id").alias("o"), F.col("name").alias("name"), F.col("argc").alias("n"), F.col("id").alias("target"), F.col("kind").alias("tkind"))
     up = sub.select("repo", F.col("id").alias("class_id"), F.col("top").alias("o"), "d")
     fits = (F.col("argc") == F.col("n")) | (F.col("argc") < 0)
     near = sited.join(up, ["repo", "class_id"]).join(methods, ["repo", "o", "name"]).where(fits & (F.col("kind").isin(*_NEW) == (F.col("tkind") == "Constructor"))).where(~(F.col("kind").isin(*_NEW) & (F.col("d") > 0)))
-    near = near.groupBy("repo", "src", "class_id", "kind", "name", "argc").agg(F.min_by("target", F.struct("d", "target")).alias("target"))
+    # the nearest owner's, and of its overloads the one that the arguments fit best
+    near = near.groupBy("repo", "src", "class_id", "kind", "name", "argc", "args").agg(F.min_by("target", F.struct("d", misfits(F.col("args"), F.col("target")).alias("m"), "target")).alias("target"))
     down = sub.where("d > 0").select("repo", F.col("top").alias("class_id"), F.col("id").alias("o"))
     below = sited.where("kind in ('scoped', 'field', 'self')").join(down, ["repo", "class_id"]).join(methods, ["repo", "o", "name"]).where(fits & (F.col("tkind") == "Method"))
     lone = methods.where("tkind = 'Method'").groupBy("repo", "name", "n").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("k")).where("k = 1")

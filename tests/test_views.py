@@ -135,6 +135,14 @@ def test_java_calls_and_accessors(spark):
     assert {r["type"] for r in js.unresolved(f, v).collect()} >= {"Map", "String", "List"}
 
 
+def test_overloads_by_the_types_of_arguments(spark):
+    code = "package p;\nclass A {\n  void f(int a) { } void f(String a) { } void f(Long a) { } void f(B b) { } void f(int a, String b) { }\n  void s(String x) { f(x); } void i() { f(7); } void l() { f(7L); } void n() { f(new B()); } void two() { f(1, g(2)); } int g(int q) { return q; }\n}\nclass B { }\n"
+    f = cut(js.facts_of(sources(spark, code)))
+    got = {(r["src"], r["dst"]) for r in js.arcs_of(f, js.vertices_of(f)).where("arc_kind = 'NormalCall'").collect()}
+    want = {("p.A.s(String)", "p.A.f(String)"), ("p.A.i()", "p.A.f(int)"), ("p.A.l()", "p.A.f(Long)"), ("p.A.n()", "p.A.f(B)"), ("p.A.n()", "p.B.B()"), ("p.A.two()", "p.A.f(int, String)"), ("p.A.two()", "p.A.g(int)")}
+    assert got == want
+
+
 def test_java_that_breaks(spark):
     good, bad = "class A { void f() { } }", "class A {\n  void f() {\n    g(;\n"
     f = js.facts_of(sources(spark, good, bad, "", "}}}"))
