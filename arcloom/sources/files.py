@@ -88,7 +88,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(src, dest) of the ones of a 0/1 adjacency matrix file whose first row and column name the nodes."""
     wide = spark.read.option("header", True).csv(path)
     first, rest = wide.columns[0], wide.columns[1:]
-    return wide.withColumnRenamed(first, "src").unpivot("src", rest, "dest", "v").where(F.col("v").cast("int") == 1).select("src", "dest")
+    return wide.withColumnRenamed(first, "src").unpivot("src", [F.col(f"`{c}`") for c in rest], "dest", "v").where(F.col("v").cast("int") == 1).select("src", "dest")
 
 
 def to_matrix(edges: DataFrame, nodes: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def _nested(df: DataFrame, name: str) -> bool:
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names in ``spark.checkpoint.dir``. Where none is set, a local session gets
-    one in its warehouse folder; a cluster, whose executors would each write to a disk of their own, is an error."""
+    one of its own; on a cluster, whose executors would each write to their own disk, it is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -38,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
     if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        named = tempfile.mkdtemp(prefix="arcloom-checkpoint-")
     sc.setCheckpointDir(named)
 
 
