@@ -200,7 +200,7 @@ def _models(counts: DataFrame) -> dict[str, Trigrams]:
 
 
 def name_entropies(m: DataFrame) -> DataFrame:
-    """(file_id, entropy): bits a character of each program's distinct names, by a model of the names of all files of its language.
+    """(file_id, lang, entropy): bits a character of each program's distinct names, by a model of the names of all files of its language.
 
     The names of all files are counted, and a second time without those of the strangest sixth of the
     first model, which may be machine-made.
@@ -229,7 +229,7 @@ def name_entropies(m: DataFrame) -> DataFrame:
 
     first = sc.broadcast(_models(counted(None, None)))
     limits = {r["lang"]: r["limit"] for r in entropies(first).groupBy("lang").agg(F.percentile_approx("entropy", 0.84).alias("limit")).collect()}  # a row a language
-    return entropies(sc.broadcast(_models(counted(first, limits)))).select("file_id", "entropy")
+    return entropies(sc.broadcast(_models(counted(first, limits))))
 
 
 class _Counts:
@@ -348,12 +348,13 @@ def foreign(m: DataFrame, common: DataFrame) -> DataFrame:
 def judged(files: DataFrame) -> DataFrame:
     """(file_id, repo, lang, kind, rules): each file that is not hand-written, with what it is (by the first rule) and all rules that tell."""
     m = cut(measures(files).dropDuplicates(["file_id"]))
-    m = m.join(cut(name_entropies(m)), "file_id", "left")
+    bits = cut(name_entropies(m))
     plain = cut(common(m))
-    typical = m.where("entropy is not null").groupBy("lang").agg(F.percentile_approx("entropy", 0.5).alias("typical"))
+    typical = bits.groupBy("lang").agg(F.percentile_approx("entropy", 0.5).alias("typical"))
     far = foreign(m, plain).withColumn("foreign", F.lit(True))
     odd = strange(m, plain).withColumn("strange", F.lit(True))
-    both = m.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left").join(odd, "file_id", "left")
+    told = m.drop("idents", "sketch").join(bits.select("file_id", "entropy"), "file_id", "left")
+    both = told.join(F.broadcast(typical), "lang", "left").join(far, "file_id", "left").join(odd, "file_id", "left")
     program, same = F.col("lang").isin(*_PROGRAM), F.col("same_kind")
     rules = {
         "copied lines": ("vendored", F.col("foreign")),
