@@ -6,6 +6,8 @@ selections together, by joins on the numbers of slices.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from arcloom.tables import cut
 
 TYPES = ("Class", "Interface", "Enum", "Annotation")
 
+#: Arcs of a graph whose slices are found in one task, and rows that a task makes of a group's nodes.
+ARCS, ROWS = 2_000_000, 2_000_000
+
 
 def is_type(kind: Column) -> Column:
     """Any type declaration."""
@@ -54,6 +59,125 @@ def touched(choice: DataFrame, slices: DataFrame, by: str, keys: list[str], node
     return hit.join(has, [*keys, node]).select(by, *keys, node, (F.col("some") == F.col("all")).alias("owned"))
 
 
+def _reached(n: int, src: np.ndarray, dst: np.ndarray, entries: list[int]) -> list[int]:
+    """For each of n nodes, the entries (by their place) that reach it, as the bits of a number. Nodes that reach
+    each other are found first (Tarjan), so every arc is looked at twice, however many entries there are."""
+    first = np.searchsorted(src, np.arange(n + 1)).tolist()
+    to = dst.tolist()
+    index, low, part, at = [-1] * n, [0] * n, [-1] * n, list(first)
+    parts: list[list[int]] = []
+    count, stack = 0, []
+    for e in entries:
+        if index[e] >= 0:
+            continue
+        path = [e]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            k, end = at[v], first[v + 1]
+            while k < end:
+                u = to[k]
+                if index[u] < 0:
+                    path.append(u)
+                    break
+                if part[u] < 0 and low[u] < low[v]:
+                    low[v] = low[u]
+                k += 1
+            at[v] = k
+            if k < end:
+                continue
+            path.pop()
+            if low[v] == index[v]:
+                own = []
+                while not own or own[-1] != v:
+                    own.append(stack.pop())
+                    part[own[-1]] = len(parts)
+                parts.append(own)
+    bits = [0] * len(parts)
+    for k, e in enumerate(entries):
+        bits[part[e]] |= 1 << k
+    for p in range(len(parts) - 1, -1, -1):  # parts come out after those that they reach
+        for v in parts[p]:
+            for u in to[first[v] : first[v + 1]]:
+                if part[u] != p:
+                    bits[part[u]] |= bits[p]
+    return [bits[p] if p >= 0 else 0 for p in part]
+
+
+def slice_groups(entries: DataFrame, arcs: DataFrame, keys: list[str], node: str = "id", limit: int = ARCS) -> tuple[DataFrame, DataFrame]:
+    """(members: keys + node + group, groups: keys + group, slices, nodes, arcs): nodes that lie in the same slices
+    are a group, named by one of them; each group with its slices, and how many nodes and arcs out of them it has.
+
+    ``entries`` (keys, node) start a slice each, ``arcs`` (keys, src, dst) may come more than once. Slices have numbers
+    within their graph. Graphs of up to ``limit`` arcs are looked at in one task each, so that what entries
+    reach is never written out; larger ones take the closure by joins."""
+    e, a = entries.select(*keys, node).where(F.col(node).isNotNull()).distinct(), arcs.select(*keys, "src", "dst")
+    many = cut(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys))
+    large = not many.isEmpty()
+    few_e, few_a = (x.join(F.broadcast(many), keys, "left_anti") if large else x for x in (e, a))
+
+    def grouped(key: tuple, own: pa.Table, out: pa.Table) -> pa.Table:
+        names = pa.concat_arrays([c for x in (own[node], out["src"], out["dst"]) for c in x.chunks] or [pa.array([], pa.string())]).dictionary_encode()
+        code, names, k = names.indices.to_numpy(), names.dictionary, len(own)
+        n = len(names)
+        pair = np.unique(code[k : k + len(out)].astype(np.int64) * n + code[k + len(out) :])
+        src, dst = pair // max(n, 1), pair % max(n, 1)
+        groups: dict[int, list[int]] = {}
+        for v, b in enumerate(_reached(n, src, dst, code[:k].tolist())):
+            if b:
+                groups.setdefault(b, []).append(v)
+        degree = np.bincount(src, minlength=n)
+        slices = [np.flatnonzero(np.unpackbits(np.frombuffer(b.to_bytes(k // 8 + 1, "little"), np.uint8), bitorder="little")).astype(np.int64) for b in groups]
+        ids = [names.take(pa.array(vs, pa.int64())) for vs in groups.values()]
+        cols = {x: pa.repeat(key[i], len(groups)) for i, x in enumerate(keys)}
+        cols |= {"group": pa.array([x[0].as_py() for x in ids], pa.string()), "slices": pa.array(slices, pa.list_(pa.int64())), "ids": pa.array([x.to_pylist() for x in ids], pa.list_(pa.string()))}
+        return pa.table(cols | {"arcs": pa.array([int(degree[vs].sum()) for vs in groups.values()], pa.int64())})
+
+    kinds = ", ".join(f"`{k}` {entries.schema[k].dataType.simpleString()}" for k in keys)
+    rows = cut(few_e.groupBy(*keys).cogroup(few_a.groupBy(*keys)).applyInArrow(grouped, f"{kinds}, group string, slices array<long>, ids array<string>, arcs long"))
+    members = rows.select(*keys, F.explode("ids").alias(node), "group")
+    groups = rows.select(*keys, "group", "slices", F.size("ids").cast("long").alias("nodes"), "arcs")
+    if not large:
+        return members, groups
+    far = a.join(F.broadcast(many), keys, "left_semi").distinct()
+    s = slice_members(cut(numbered_slices(e.join(F.broadcast(many), keys, "left_semi"), keys, node)), far, keys, node)
+    s = s.groupBy(*keys, node).agg(F.array_sort(F.collect_list("slice")).alias("slices"))
+    s = cut(s.withColumn("group", F.min(node).over(Window.partitionBy(*keys, "slices"))))
+    out = s.join(far.groupBy(*keys, F.col("src").alias(node)).agg(F.count(F.lit(1)).alias("arcs")), [*keys, node], "left")
+    out = out.groupBy(*keys, "group").agg(F.first("slices").alias("slices"), F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("arcs"), F.lit(0)).alias("arcs"))
+    return members.unionByName(s.select(*keys, node, "group")), groups.unionByName(out)
+
+
+def selections(own: DataFrame, members: DataFrame, groups: DataFrame, by: str, keys: list[str], node: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(chosen: by, keys, like; hits: keys, like, group, owned): what the slices of the nodes that a selection (by, keys, node)
+    is made of hold: whole groups, with whether all slices of a group are selected.
+
+    Selections of nodes in the same groups select the same, so ``hits`` has one of them, ``like``, for all."""
+    at = own.join(members, [*keys, node]).groupBy(by, *keys).agg(F.array_sort(F.collect_set("group")).alias("__of"))
+    at = cut(at.withColumn("like", F.min(by).over(Window.partitionBy(*keys, "__of"))))
+    each = groups.select(*keys, "group", F.explode("slices").alias("slice"))
+    asked = at.where(F.col(by) == F.col("like")).select(*keys, "like", F.explode("__of").alias("group"))
+    picked = asked.join(each, [*keys, "group"]).select(*keys, "like", "slice").distinct()
+    hits = picked.join(each, [*keys, "slice"]).groupBy(*keys, "like", "group").agg(F.count(F.lit(1)).alias("__n"))
+    hits = hits.join(groups.select(*keys, "group", F.size("slices").alias("__all")), [*keys, "group"])
+    return at.select(by, *keys, "like"), hits.select(*keys, "like", "group", (F.col("__n") == F.col("__all")).alias("owned"))
+
+
+def held(chosen: DataFrame, hits: DataFrame, members: DataFrame, by: str, keys: list[str], node: str = "id", rows: int = ROWS) -> DataFrame:
+    """(by, keys, node): the nodes of ``selections``. The nodes of a group come once for about ``rows`` rows made of them,
+    so that no task makes all rows of a group that very many select."""
+    at = chosen.join(hits.select(*keys, "like", "group"), [*keys, "like"]).select(by, *keys, "group")
+    size = members.groupBy(*keys, "group").agg(F.collect_list(node).alias("__ids"))
+    many = at.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("__by"))
+    size = size.join(many, [*keys, "group"]).withColumn("__parts", F.ceil(F.col("__by") * F.size("__ids") / rows).cast("int"))
+    parts = size.select(*keys, "group", "__ids", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__p"))
+    at = at.join(size.select(*keys, "group", "__parts"), [*keys, "group"]).withColumn("__p", F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"))
+    return at.join(parts, [*keys, "group", "__p"]).select(by, *keys, F.explode("__ids").alias(node))
+
+
 def member_code(members: DataFrame, owners: DataFrame, by: str, keep_unbound: bool = False) -> DataFrame:
     """(by, top, origin, rest, members, left): each class's code, and what is left of it without a selection.
 

@@ -8,7 +8,7 @@ from arcloom.functions import signatures as sig
 from arcloom.functions import texts
 from arcloom.operators import diff, upsert, views
 from arcloom.plans.signature_sql import SIGNATURES
-from arcloom.plans.graph_queries import CTE, edges_of, entry_classes, feature_classes, vertices_of
+from arcloom.plans.graph_queries import CTE, arcs_of, edges_of, entry_classes, feature_classes, vertices_of
 from arcloom.tables import cut, first_delivery, table
 
 
@@ -39,6 +39,10 @@ def feature_slices(spark, sf_dir):
     return _choice(spark, sf_dir, _slices(spark, sf_dir)).select("feature", "slice")
 
 
+def _groups(spark, sf_dir):
+    return views.slice_groups(entry_classes(spark, sf_dir), arcs_of(spark, sf_dir), ["repo"])
+
+
 def max_graph_nodes(spark, sf_dir):
     """Classes and interfaces of the slices that each feature selects."""
     s = _slices(spark, sf_dir)
@@ -48,9 +52,10 @@ def max_graph_nodes(spark, sf_dir):
 
 def max_graph_sizes(spark, sf_dir):
     """Nodes and arcs of the slices that each feature selects."""
-    s = _slices(spark, sf_dir)
-    nodes, arcs = views.max_graph(_choice(spark, sf_dir, s), s, edges_of(spark, sf_dir), "feature", ["repo"])
-    return nodes.groupBy("feature").agg(F.count(F.lit(1)).alias("nodes")).join(arcs.groupBy("feature").agg(F.count(F.lit(1)).alias("arcs")), "feature", "left").select("feature", "nodes", F.coalesce("arcs", F.lit(0)).cast("long").alias("arcs"))
+    members, groups = _groups(spark, sf_dir)
+    chosen, hits = views.selections(feature_classes(spark, sf_dir), members, groups, "feature", ["repo"])
+    n = hits.join(groups, ["repo", "group"]).groupBy("repo", "like").agg(F.sum("nodes").alias("nodes"), F.sum("arcs").alias("arcs"))
+    return chosen.join(n, ["repo", "like"]).groupBy("feature").agg(F.sum("nodes").alias("nodes"), F.sum("arcs").alias("arcs"))
 
 
 def removable_classes(spark, sf_dir):

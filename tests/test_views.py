@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,39 @@ def test_slices_and_what_a_selection_touches(spark):
     assert got[7, "a"] and not got[7, "b"] and all(got[8, x] for x in "abcd")
 
 
+def test_groups_of_slices_say_what_their_nodes_say(spark):
+    rnd = random.Random(3)
+    arcs = [(r, f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for r in (1, 2, 3) for _ in range(45)] + [(1, "n1", "n1"), (1, "n1", "n1")]
+    a = spark.createDataFrame(arcs, "repo int, src string, dst string")
+    entries = spark.createDataFrame([(r, f"n{rnd.randrange(40)}") for r in (1, 2, 3) for _ in range(9)] + [(3, None), (5, "lone")], "repo int, id string")
+    own = spark.createDataFrame([(f, 1 + f % 3, f"n{rnd.randrange(40)}") for f in range(30) for _ in range(2)] + [(97, 5, "lone"), (96, 5, "none")], "feature int, repo int, id string")
+    seen = None
+    for limit in (10**6, 47, 1):
+        members, groups = views.slice_groups(entries, a, ["repo"], limit=limit)
+        assert members.count() == members.select("repo", "id").distinct().count() == groups.agg(F.sum("nodes")).first()[0]
+        chosen, hits = views.selections(own, members, groups, "feature", ["repo"])
+        rows = sorted((r["feature"], r["repo"], r["id"]) for r in views.held(chosen, hits, members, "feature", ["repo"], rows=50).collect())
+        t = chosen.join(hits, ["repo", "like"]).join(groups, ["repo", "group"]).groupBy("feature").agg(F.sum("nodes"), F.sum("arcs"), F.sum(F.when(F.col("owned"), F.col("nodes")).otherwise(0)))
+        got = rows, sorted(map(tuple, t.collect()))
+        assert seen is None or got == seen
+        seen = got
+    pairs = a.distinct()  # the plain way
+    slices = cut(views.slice_members(cut(views.numbered_slices(entries.where("id is not null"), ["repo"])), pairs, ["repo"]))
+    choice = cut(views.selected(own, slices, "feature", ["repo"]))
+    nodes, out = views.max_graph(choice, slices, pairs, "feature", ["repo"])
+    assert sorted(map(tuple, nodes.select("feature", "repo", "id").collect())) == seen[0]
+    degree = {r["feature"]: r["count"] for r in out.groupBy("feature").count().collect()}
+    owned = {r["feature"]: r["n"] for r in views.touched(choice, slices, "feature", ["repo"]).groupBy("feature").agg(F.count_if("owned").alias("n")).collect()}
+    n = {r["feature"]: r["count"] for r in nodes.groupBy("feature").count().collect()}
+    assert [(f, n[f], degree.get(f, 0), owned[f]) for f in sorted(n)] == seen[1]
+
+
+def test_deep_graphs_are_grouped_in_one_task(spark):
+    a = spark.createDataFrame([(4, f"c{k}", f"c{k + 1}") for k in range(3000)] + [(4, "c2999", "c2000")], "repo int, src string, dst string")
+    members, groups = views.slice_groups(spark.createDataFrame([(4, "c1"), (4, "c0"), (4, "c2500")], "repo int, id string"), a, ["repo"])
+    assert sorted((len(r["slices"]), r["nodes"], r["arcs"]) for r in groups.collect()) == [(1, 1, 1), (2, 1999, 1999), (3, 1001, 1001)] and members.count() == 3001
+
+
 def test_code_without_a_selection(spark):
     members = spark.createDataFrame([("T", 1, 10, "one"), ("T", 2, 20, "two"), ("T", 3, 30, "three"), ("U", 4, 1, "four")], "top string, member int, pos int, code string")
     owners = spark.createDataFrame([(7, 1), (7, 1), (8, 1), (7, 2), (9, 4)], "feature int, member int")
