@@ -45,9 +45,10 @@ def _groups(spark, sf_dir):
 
 def max_graph_nodes(spark, sf_dir):
     """Classes and interfaces of the slices that each feature selects."""
-    s = _slices(spark, sf_dir)
-    nodes, _ = views.max_graph(_choice(spark, sf_dir, s), s, edges_of(spark, sf_dir), "feature", ["repo"])
-    return nodes.join(vertices_of(spark, sf_dir).where(views.is_class(F.col("kind"))).select("repo", "id"), ["repo", "id"]).select("feature", "id")
+    members, groups = _groups(spark, sf_dir)
+    chosen, hits = views.selections(feature_classes(spark, sf_dir), members, groups, "feature", ["repo"])
+    shown = cut(members.join(vertices_of(spark, sf_dir).where(views.is_class(F.col("kind"))).select("repo", "id"), ["repo", "id"]))
+    return views.held(chosen, cut(hits), shown, "feature", ["repo"]).select("feature", "id")
 
 
 def max_graph_sizes(spark, sf_dir):
