@@ -61,9 +61,11 @@ def max_graph_sizes(spark, sf_dir):
 
 def removable_classes(spark, sf_dir):
     """Of the classes a feature's slices touch: those that go with it (all their slices are selected) and those that stay."""
-    s = _slices(spark, sf_dir)
-    t = views.touched(_choice(spark, sf_dir, s), s, "feature", ["repo"])
-    return t.groupBy("feature").agg(F.count_if("owned").alias("gone"), F.count_if(~F.col("owned")).alias("stay"))
+    members, groups = _groups(spark, sf_dir)
+    chosen, hits = views.selections(feature_classes(spark, sf_dir), members, groups, "feature", ["repo"])
+    n = hits.join(groups, ["repo", "group"]).groupBy("repo", "like")
+    n = n.agg(F.sum(F.when(F.col("owned"), F.col("nodes")).otherwise(0)).alias("gone"), F.sum(F.when(F.col("owned"), 0).otherwise(F.col("nodes"))).alias("stay"))
+    return chosen.join(n, ["repo", "like"]).groupBy("feature").agg(F.sum("gone").alias("gone"), F.sum("stay").alias("stay"))
 
 
 def _members(spark, sf_dir):
