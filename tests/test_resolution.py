@@ -66,6 +66,22 @@ def test_agreed_and_merged():
     assert res.merged_small([3], [], [], []) == [3]
 
 
+def test_agreement_does_not_pair_nodes_that_no_run_tells_apart():
+    n = 20_000  # 10 ** 8 pairs
+    runs = [[v % 2 for v in range(n)]] * 7 + [[v % 4 for v in range(n)]]
+    assert res.agreed(runs, 0.6, 0.1, 1) == [v % 2 for v in range(n)]
+    assert res.agreed(runs, 1.0, 0.1, 1) == [v % 4 for v in range(n)]
+
+
+def test_large_groups_are_optimised_in_one_task(spark):
+    n = 3200
+    w = spark.range(n).select(F.lit(1).alias("repo"), F.col("id").alias("i"), F.col("id").bitwiseXOR(F.lit(1)).alias("j"), F.lit(1.0).alias("w"))
+    nodes = spark.range(n).select(F.lit(1).alias("repo"), "id")
+    runs = res.partitions(nodes, w, ["repo"], [0.5], [1, 2, 3])
+    assert runs.where("label = floor(id / 2)").count() == 3 * n  # by first member: not one by joins
+    assert res.consensus(runs.drop("gamma"), w, ["repo"], 0.6).where("label = floor(id / 2)").count() == n
+
+
 def test_grid_is_logarithmic():
     g = res.grid(0.05, 0.6, 25)
     assert g[0] == 0.05 and g[-1] == 0.6 and len(g) == 25 and all(math.isclose(g[k] ** 2, g[k - 1] * g[k + 1], rel_tol=1e-6) for k in range(1, 24))
