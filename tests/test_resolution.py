@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arcloom.operators import clusters
 from arcloom.operators import resolution as res
+from arcloom.tables import cut
 
 
 def cliques(k, n, extra=()):
@@ -114,6 +115,23 @@ def test_statistics_by_hand(spark):
     assert alone["mean_density_std"] == float("inf") and alone["mean_ari"] == 1.0
 
 
+def test_statistics_in_one_task_equal_those_by_joins(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(g, int(a), int(b), float(x)) for g, n in ((1, 40), (2, 3), (3, 150)) for a, b, x in zip(rnd.integers(0, n, 4 * n), rnd.integers(0, n, 4 * n), rnd.random(4 * n))]
+    w = spark.createDataFrame(rows, "g int, i int, j int, w double").where("i <> j")
+    w = cut(w.unionByName(w.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("g", "i", "j").agg(F.max("w").alias("w")))
+    nodes = spark.createDataFrame([(g, v) for g, n in ((1, 41), (2, 3), (3, 150), (4, 2)) for v in range(n)], "g int, id int")
+    args = nodes, w, ["g"], [0.1, 0.4, 1.5], [1, 2, 3]
+    one, many = res.graded(*args), res.run_statistics(res.partitions(*args), w, ["g"])
+    got = {(r["g"], r["gamma"]): r.asDict() for r in one.drop("runs").collect()}
+    want = {(r["g"], r["gamma"]): r.asDict() for r in many.collect()}
+    assert set(got) == set(want) and len(got) == 12 and dict(one.drop("runs").dtypes) == dict(many.dtypes)
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x)
+    runs = {(r["g"], r["gamma"], s + 1, v): x for r in one.select("g", "gamma", "runs").collect() for s, l in enumerate(r["runs"]) for v, x in enumerate(l)}
+    assert runs == {(r["g"], r["gamma"], r["seed"], r["id"]): r["label"] for r in res.partitions(*args).collect()}
+
+
 def test_min_max_leaves_out_what_is_not_finite(spark):
     rows = [("a", 1.0), ("a", 3.0), ("a", float("inf")), ("a", float("nan")), ("b", 2.0), ("b", 2.0), ("c", float("inf"))]
     df = spark.createDataFrame(rows, "g string, x double")
