@@ -171,3 +171,35 @@ def test_names_are_encoded_by_an_injected_model(spark):
     assert got[1] == got[2] != got[4] and not any(got[3])
     one = res.encoded(df, ["id"], "name", lambda: lambda texts: np.array([[len(t)] for t in texts]))
     assert {r["id"]: r["vec"] for r in one.collect()} == {1: [12.0], 2: [13.0], 3: [0.0], 4: [7.0]}
+
+
+def test_optimiser_in_the_jvm_gives_the_labels_of_the_one_in_python(spark):
+    rnd = random.Random(4)
+    gammas, seeds, graphs = [0.05, 0.3, 1.1], [0, 1, 2025, -7, 2**40], []
+    for n in (1, 2, 9, 60, 400):
+        e = {(rnd.randrange(n), rnd.randrange(n)): rnd.choice((0.0, 0.25, 0.5, rnd.random())) for _ in range(6 * n)}  # loops, weights of 0, equal ones, some in one direction only
+        graphs.append((n, sorted((a, b, w) for (a, b), w in e.items())))
+    graphs += [(24, sorted(cliques(4, 6, [(0, 6, 0.4)]))), (3, [])]
+    mixed = [[(10 * a - 5, 10 * b - 5, w) for a, b, w in rnd.sample(e, len(e))] for _, e in graphs]
+    rows = [(k, [10 * v - 5 for v in range(n)], *(map(list, zip(*m)) if m else (None,) * 3)) for k, ((n, _), m) in enumerate(zip(graphs, mixed))]
+    df = spark.createDataFrame(rows, "k int, ids array<long>, a array<long>, b array<long>, w array<double>")
+    call = res.java_function(spark, res.OPTIMISER, "arcloom_communities", "array<array<array<int>>>", "ids", "a", "b", "w", F.array(*map(F.lit, gammas)), F.array(*[F.lit(s).cast("long") for s in seeds]))
+    got = {r["k"]: r["found"] for r in df.repartition(3).select("k", call.alias("found")).collect()}
+    for k, (n, e) in enumerate(graphs):
+        assert got[k] == [[res.optimised(n, *(zip(*e) if e else ([], [], [])), g, s)[0] for s in seeds] for g in gammas]
+
+
+def test_names_are_encoded_once_for_the_weights(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            count.add(len(texts))
+            return np.array([[1.0, len(t)] for t in texts])
+
+        return encode
+
+    df = spark.createDataFrame([(1, i, "x" * i) for i in range(20)], "repo int, id int, name string")
+    links = spark.createDataFrame([(1, 0, 19), (1, 19, 0)], "repo int, i int, j int")
+    assert clusters.group_weights(res.encoded(df, ["repo", "id"], "name", load), links, ["repo"], 0.5, 3).count() > 0
+    assert count.value == 20
