@@ -105,6 +105,32 @@ def test_best_clustering_finds_planted_groups_by_both_ways(spark):
     assert res.best_clustering(nodes.limit(0), w.limit(0), ["repo"], [0.3], [1], least=2, ratio=0.5, tau=0.6)[0].count() == 0
 
 
+def test_best_clustering_does_not_depend_on_how_its_work_is_split(spark):
+    rnd = np.random.default_rng(2)
+    rows = {(int(a), int(b)): float(x) for a, b, x in zip(rnd.integers(0, 40, 90), rnd.integers(0, 40, 90), rnd.random(90)) if a < b}
+    w = spark.createDataFrame([("r", *e, x) for (a, b), x in rows.items() for e in ((a, b), (b, a))], "repo string, i int, j int, w double")
+    nodes = spark.createDataFrame([("r", v) for v in range(41)], "repo string, id int")
+    got = []
+    for limit in (1000, 7, 1):
+        labels, results = res.best_clustering(nodes, w, ["repo"], [0.1, 0.3, 0.6], [1, 2], least=2, ratio=0.5, tau=0.6, merge=True, limit=limit)
+        got.append((sorted(labels.collect()), sorted(results.collect())))
+    assert got[0] == got[1] == got[2]
+    # the way on which small groups went: labels by first member, clusters of one join others by their weights
+    best = next(r["gamma"] for r in got[0][1] if r["best"])
+    e = sorted((a, b, x) for (i, j), x in rows.items() for a, b in ((i, j), (j, i)))
+    runs = [res.optimised(41, *zip(*e), best, s)[0] for s in (1, 2)]
+    assert [r["label"] for r in got[0][0]] == res._dense(res.merged_small(res.agreed(runs, 0.6, 0.1, 2025), *zip(*e)))
+
+
+def test_stored_graphs_have_the_order_of_adjacent():
+    rnd = random.Random(6)
+    for n, m in ((1, 0), (5, 3), (30, 200)):
+        e = sorted((rnd.randrange(n), rnd.randrange(n), rnd.choice((0.0, 0.5, rnd.random()))) for _ in range(m))  # loops, pairs given twice or in one direction, weights of 0
+        src, dst, w = (np.array(x, t) for x, t in zip(zip(*e) if e else ((), (), ()), (np.int64, np.int64, np.float64)))
+        want = [(v, u, x) for v, near in enumerate(res.adjacent(n, src, dst, w)) for u, x in near.items()]
+        assert list(zip(*(x.tolist() for x in res._arcs(res._stored(n, src, dst, w))))) == want
+
+
 def test_statistics_by_hand(spark):
     w = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 2, 3, 0.5), (1, 3, 2, 0.5)], "g int, i int, j int, w double")
     runs = spark.createDataFrame([(1, 0.1, s, i, l) for s, ls in ((1, [0, 0, 1]), (2, [0, 1, 2])) for i, l in zip((1, 2, 3), ls)], "g int, gamma double, seed int, id int, label int")
